@@ -1,8 +1,36 @@
 """The queries opN_<name>: each applies one operator to its whole table."""
 
+from pyspark.sql import functions as F
+
 from bioquery.llm import common
 
 
+def op4_personal_data(spark, sf_dir):
+    from bioquery.llm.personal_data import scan
+
+    return scan(common.table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    from bioquery.llm import toxicity
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), lambda c: common.fold(c, 4) != 2)
+    return _with_fold(toxicity.score(docs, model), 4, 2)
+
+
+def op8_quality(spark, sf_dir):
+    from bioquery.llm import quality
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"), lambda c: common.fold(c, 3) != 1)
+    return _with_fold(quality.score(docs, model), 3, 1)
+
+
+def _with_fold(scores, modulus, remainder):
+    return scores.select("doc_id", (common.fold("doc_id", modulus) == remainder).alias("held_out"), "score", "predicted")
+
+
 def op10_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
