@@ -69,8 +69,8 @@ def oracle_sql():
         "op2_vector_dedup": """
             WITH RECURSIVE good AS (
               SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-              WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
             links AS (
               SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
               WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
@@ -84,10 +84,10 @@ def oracle_sql():
             FROM embeddings e LEFT JOIN low ON e.vec_id = low.node LEFT JOIN many ON e.vec_id = many.a""",
         "op5_ngram_join": f"""
             WITH RECURSIVE split AS (
-              SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+              SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
             sets AS (
               SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
             sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
             classes AS (SELECT list_sort(s) AS s, n, min(doc_id) AS node FROM sized WHERE n > 0 GROUP BY ALL),
             grams AS (SELECT node, n, unnest(s) AS g FROM classes),
