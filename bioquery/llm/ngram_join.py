@@ -5,18 +5,19 @@ Texts are lower-cased (A-Z) and split into words; a document's set holds the
 there are fewer).  Two documents link when
 ``denominator * |intersection| >= numerator * |union|``.
 
-1. Documents with equal sets form a class; the smallest id stands for it.
+1. Documents with equal sets form a class, named by 64 bits of a digest.
 2. Size bands: a linked pair differs in at most ``d`` n-grams, where ``d``
    follows from the larger size.  The range of hashes is cut into ``k > d``
    sections, so that at least ``k - d`` sections of two linked documents agree.
    Each section is one hash of the n-grams in it; band, section and hash form
    the key of a tile, and every linked pair meets in a tile of its band.
-3. In each tile all members are compared with its smallest id: rows grow with
-   the members, not with their pairs.  What this links is contracted.
+3. In each tile all members are compared with its smallest and largest class:
+   rows grow with the members, not with their pairs.  What this links is contracted.
 4. Where a tile holds several components after that, its members are dealt into
-   blocks of at most ``block`` rows, and all pairs of blocks are compared, those
-   within one component excepted.  So no link between components is lost,
-   and none is searched for where it cannot change the result.
+   parts of about ``block`` rows.  Pairs of parts are compared, but pairs within
+   one component are not, nor is the largest component sent to meet itself.
+   So no link between components is lost, and none is searched for where it
+   cannot change the result.
 
 A comparison bounds the intersection from above by the bits of two hashed bitmap
 signatures first, and intersects the sorted arrays exactly if the bound allows.
@@ -182,8 +183,8 @@ def _block_pairs(threshold):
     return run
 
 
-def _grams_of(docs, width):
-    """(doc_id, n, grams) of documents: the set as bytes of sorted uint64."""
+def _grams_of(rows, width):
+    """(node, n, grams) of rows (node, text): the set as bytes of sorted uint64."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,7 +195,14 @@ def _grams_of(docs, width):
                 sets = [g for _, g in _sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in sets], type=pa.int64()), pa.array([g.tobytes() for g in sets], type=pa.binary())], names=["node", "n", "grams"])
 
-    return docs.mapInArrow(run, "node long, n long, grams binary")
+    return rows.mapInArrow(run, "node long, n long, grams binary")
+
+
+def _class_of(grams):
+    """64 bits of a digest of the whole set: documents with one value have equal sets."""
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_column="doc_id", text_column="text") -> DataFrame:
@@ -205,74 +213,79 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
     def digest(batches):
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
-            sets = [g for _, g in _sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in sets], type=pa.int64()), pa.array([hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in sets], type=pa.binary())], names=["doc_id", "n", "same"])
+            sets = [(len(g), _class_of(g)) for _, g in _sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], type=pa.int64()), pa.array([c for _, c in sets], type=pa.int64())], names=["doc_id", "n", "node"])
 
-    sizes = store.put(texts.mapInArrow(digest, "doc_id long, n long, same binary"), "sizes")
-    classes = store.put(sizes.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = classes.where("node is not null").select("node")
-    rest = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi")
+    sizes = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long"), "sizes")
+    classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
 
     def tiles(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, rows, held = [], [], 0
-            for row, grams in _sets(batch.column(1), width):
+            keys, nodes, held = [], [], 0
+            for row, grams in _sets(batch.column(0), width):
                 if len(grams):
                     keys.append(_signatures(grams, threshold))
-                    rows.append(np.full(len(keys[-1]), ids[row]))
+                    nodes.append(np.full(len(keys[-1]), _class_of(grams)))
                     held += len(keys[-1])
-                if held > 100_000 or row == len(ids) - 1 and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows))], names=["tile", "node"])
-                    keys, rows, held = [], [], 0
-
-    members = rest.mapInArrow(tiles, "tile long, node long")
-    hubs = members.groupBy("tile").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("tile", "hub")
-    hubs = store.put(hubs, "hubs")
-    shared = store.put(members.join(hubs, "tile"), "tiles")
-    pairs = store.put(shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = store.put(_grams_of(texts.join(involved, texts["doc_id"] == involved["node"], "left_semi"), width).dropDuplicates(["node"]), "sets")
+                if held > 100_000 or row == batch.num_rows - 1 and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["tile", "node"])
+                    keys, nodes, held = [], [], 0
+
+    # copies send the rows of their class again; sums before the shuffle merge those of one task
+    members = texts.select("text").mapInArrow(tiles, "tile long, node long")
+    hubs = store.put(members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "hubs")
+    shared = store.put(members.join(hubs.hint("merge"), "tile").distinct(), "tiles")
+    star = F.explode(F.array("low", "high")).alias("hub")
+    pairs = shared.select("node", star).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = store.put(pairs, "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("first", "node")
+    grams = _grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width)
+    sets = store.put(grams.dropDuplicates(["node"]), "sets")
 
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    links = store.put(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
+    links = store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
     labels = store.put(common.components(spark, links, store), "labels")
-    known = shared.join(labels, "node", "left").select("tile", "hub", "node", F.coalesce("component", "node").alias("component"))
-    split = store.put(known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high"), "split")
+    known = shared.join(labels, "node", "left").select("tile", F.col("low").alias("hub"), "node", F.coalesce("component", "node").alias("component"))
+    split = store.put(known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile"), "split")
     more = _blocks(spark, store, known, split, sets, threshold, block)
     if more is not None:
         labels = store.put(common.components(spark, links.unionByName(more), store), "labels")
 
-    of_class = classes.join(labels, "node", "left").select("same", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
-    large = sizes.where("n > 0").join(of_class, "same").select("doc_id", "n", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    small = sizes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return large.unionByName(small).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    labelled = classes.join(labels, "node", "left").select("node", F.col("first").alias("class_id"), F.coalesce("component", "node").alias("component"))
+    labelled = store.put(labelled, "labelled")
+    least = labelled.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    of_class = store.put(labelled.join(least, "component").select("node", "class_id", "component_id"), "result")
+    full = sizes.where("n > 0").join(of_class, "node").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    bare = sizes.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def _blocks(spark, store, known, split, sets, threshold, block):
-    """Links between the components of tiles that hold several; None if there are no such tiles."""
+    """Links between the components of tiles that hold several; None if there are no such tiles.
+
+    Tiles that share members form an area.  Its largest component is not
+    compared with itself: the other members are dealt into parts, its own
+    members into others, and only pairs of parts with others in them meet.
+    """
     if split.isEmpty():
         return None
-    # tiles that share members are compared as one: rows are dealt by the tiles' component
-    groups = known.join(split.select("tile"), "tile").select("node", "hub", "component")
-    together = common.components(spark, groups.select(F.col("node").alias("a"), F.col("hub").alias("b")), store)
-    placed = _areas(groups, together)
-    placed = store.put(placed, "areas")
-    parts = placed.groupBy("area").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    dealt = placed.join(parts, "area").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cells = dealt.select("node", "component", "area", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "part").select("node", "component", "area", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = cells.join(sets, "node")
+    groups = store.put(known.join(split, "tile").select("node", "hub", "component").distinct(), "groups")
+    area = common.components(spark, groups.select(F.col("node").alias("a"), F.col("hub").alias("b")), store).withColumnRenamed("component", "area")
+    placed = store.put(groups.select("node", "component").distinct().join(area, "node"), "areas")
+    count = placed.groupBy("area", "component").agg(F.count("*").alias("n"))
+    largest = count.groupBy("area").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    parts = largest.select("area", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / F.lit(block)).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(block)).cast("int").alias("outer"))
+    dealt = placed.join(store.put(parts, "parts"), "area").withColumn("inside", F.col("component") == F.col("top"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    # parts of others are 0 .. outer - 1; those of the largest component are -1, -2 ..
+    outer, inner = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(-1), -F.col("inner"))
+    cells = dealt.select("node", "component", "area", F.when(F.col("inside"), -1 - F.col("part")).otherwise(F.col("part")).alias("part"), F.explode(F.when(F.col("inside"), outer).otherwise(F.concat(inner, outer))).alias("other"))
+    cells = cells.select("node", "component", "area", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = cells.join(sets.hint("merge"), "node")
     return store.put(rows.groupBy("area", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long"), "more")
-
-
-def _areas(groups, together):
-    area = together.withColumnRenamed("component", "area")
-    return groups.select("node", "component").distinct().join(area, "node")
