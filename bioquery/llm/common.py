@@ -110,7 +110,8 @@ def components(spark: SparkSession, edges: DataFrame, store: Store) -> DataFrame
     pairs = store.put(pairs.distinct(), "edges")
     while True:
         tasks = -(-pairs.count() // EDGES_A_TASK)
-        stars = store.put(pairs.repartition(max(1, tasks), "a").mapInArrow(_stars_of_partition, "a long, b long"), "stars")
+        dealt = pairs.repartition(tasks, "a") if tasks > 1 else pairs.coalesce(1)
+        stars = store.put(dealt.mapInArrow(_stars_of_partition, "a long, b long"), "stars")
         if tasks <= 1:
             flat = stars
             break

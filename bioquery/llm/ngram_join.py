@@ -11,8 +11,9 @@ there are fewer).  Two documents link when
    sections, so that at least ``k - d`` sections of two linked documents agree.
    Each section is one hash of the n-grams in it; band, section and hash form
    the key of a tile, and every linked pair meets in a tile of its band.
-3. In each tile all members are compared with its smallest and largest class:
-   rows grow with the members, not with their pairs.  What this links is contracted.
+3. In each tile all members are compared with its hub, the member that meets
+   most others: rows grow with the members, not with their pairs.  What this
+   links is contracted.
 4. Where a tile holds several components after that, its members are dealt into
    parts of about ``block`` rows.  Pairs of parts are compared, but pairs within
    one component are not, nor is the largest component sent to meet itself.
@@ -238,10 +239,11 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
 
     # copies send the rows of their class again; sums before the shuffle merge those of one task
     members = texts.select("text").mapInArrow(tiles, "tile long, node long")
-    hubs = store.put(members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "hubs")
-    shared = store.put(members.join(hubs.hint("merge"), "tile").distinct(), "tiles")
-    star = F.explode(F.array("low", "high")).alias("hub")
-    pairs = shared.select("node", star).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    several = members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("tile")
+    shared = store.put(members.join(store.put(several, "several").hint("merge"), "tile").distinct(), "tiles")
+    hubs = store.put(_hubs(shared), "hubs")
+    shared = store.put(shared.join(hubs, "tile"), "tiles")
+    pairs = shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = store.put(pairs, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("first", "node")
     grams = _grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width)
@@ -251,7 +253,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     links = store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
     labels = store.put(common.components(spark, links, store), "labels")
-    known = shared.join(labels, "node", "left").select("tile", F.col("low").alias("hub"), "node", F.coalesce("component", "node").alias("component"))
+    known = shared.join(labels, "node", "left").select("tile", "hub", "node", F.coalesce("component", "node").alias("component"))
     split = store.put(known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile"), "split")
     more = _blocks(spark, store, known, split, sets, threshold, block)
     if more is not None:
@@ -266,6 +268,16 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     return full.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+def _hubs(shared):
+    """(tile, hub): of a tile's members the one that meets most others, over all its tiles.
+
+    The original of many near copies has the sections that most of them have, so
+    it outweighs each copy, also where two copies don't link.
+    """
+    weight = shared.join(shared.groupBy("tile").agg(F.count("*").alias("n")), "tile").groupBy("node").agg(F.sum("n").alias("weight"))
+    return shared.join(weight, "node").groupBy("tile").agg(F.max(F.struct("weight", "node")).alias("top")).select("tile", F.col("top.node").alias("hub"))
+
+
 def _blocks(spark, store, known, split, sets, threshold, block):
     """Links between the components of tiles that hold several; None if there are no such tiles.
 
