@@ -5,12 +5,26 @@ from pyspark.sql import functions as F
 from bioquery.llm import common
 
 
+def op1_mixing(spark, sf_dir):
+    from bioquery.llm.mixing import mix
+
+    return mix(common.table(spark, sf_dir, "documents")).withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
+
+
 def op2_vector_dedup(spark, sf_dir):
     from bioquery.llm.vector_dedup import link
 
     return link(common.table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    from bioquery.llm.line_dedup import delete_later_copies
+
+    rows = delete_later_copies(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("__text", F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.col("__runs").alias("deleted_runs"), digest.alias("text_sha256"))
+
+
 def op4_personal_data(spark, sf_dir):
     from bioquery.llm.personal_data import scan
 
@@ -65,7 +79,10 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 
 def oracle_sql():
+    from bioquery.llm.mixing import oracle
+
     return {
+        "op1_mixing": oracle(),
         "op2_vector_dedup": """
             WITH RECURSIVE good AS (
               SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
