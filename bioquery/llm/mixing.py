@@ -55,34 +55,47 @@ def rake(counts, codes, targets, rounds=ROUNDS):
     return np.divide(mass, counts, out=np.ones(len(counts)), where=counts > 0)
 
 
-def mix(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text") -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
+def _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column):
+    """The rows of docs with __source, __lang, __topic, __tokens, __weight, __probability and __kept."""
     spark = docs.sparkSession
     none = F.lit("(none)")
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce("source", none).alias("source"), F.coalesce("lang", none).alias("lang"), F.col(text_column).alias("text"))
-    rows = rows.withColumn("n_tokens", tokens(F.col("text")))
-    rows = rows.withColumn("topic", topic(F.col("text"), F.col("n_tokens"))).drop("text")
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).orderBy(*MARGINS).limit(max_cells + 1).collect()
+    rows = docs.withColumns({"__source": F.coalesce("source", none), "__lang": F.coalesce("lang", none), "__tokens": tokens(F.col(text_column))})
+    rows = rows.withColumn("__topic", topic(F.col(text_column), F.col("__tokens")))
+    margins = [f"__{m}" for m in MARGINS]
+    cells = rows.groupBy(*margins).agg(F.sum("__tokens").alias("n")).orderBy(*margins).limit(max_cells + 1).collect()
     if len(cells) > max_cells:
         raise ValueError(f"more than {max_cells} cells")
     counts = np.array([c["n"] for c in cells], dtype=float)
     codes, shares = [], []
-    for margin in MARGINS:
+    for margin in margins:
         names = sorted({c[margin] for c in cells})
         code = np.array([names.index(c[margin]) for c in cells], dtype=int)
-        given = (targets or {}).get(margin)
+        given = (targets or {}).get(margin[2:])
         have = np.bincount(code, counts, len(names)) if names else np.zeros(0)
         share = np.array([given.get(name, 0.0) for name in names]) if given else have**temper
         codes.append(code)
         shares.append(share / share.sum() if share.sum() else share)
     weights = rake(counts, codes, shares) if counts.sum() else np.ones(len(cells))
-    table = [(c["source"], c["lang"], c["topic"], float(w)) for c, w in zip(cells, weights, strict=True)]
+    table = [(*(c[m] for m in margins), float(w)) for c, w in zip(cells, weights, strict=True)]
     # at most max_cells rows of three short names and a number
-    raked = F.broadcast(spark.createDataFrame(table, "source string, lang string, topic string, weight double"))
-    text_id = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    raked = F.broadcast(spark.createDataFrame(table, ", ".join(f"{m} string" for m in margins) + ", __weight double"))
+    text_id = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(text_id.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    out = rows.join(raked, list(MARGINS)).withColumn("probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("weight")))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (uniform < F.col("probability")).alias("kept"))
+    out = rows.join(raked, margins).withColumn("__probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("__weight")))
+    return out.withColumn("__kept", uniform < F.col("__probability"))
+
+
+def mix(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text") -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
+    narrow = docs.select(id_column, text_column, "source", "lang")
+    out = _raked(narrow, targets, rate, temper, seed, max_cells, id_column, text_column)
+    names = {"source": "__source", "lang": "__lang", "topic": "__topic", "n_tokens": "__tokens", "weight": "__weight", "probability": "__probability", "kept": "__kept"}
+    return out.select(F.col(id_column).alias("doc_id"), *[F.col(c).alias(name) for name, c in names.items()])
+
+
+def sample(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text") -> DataFrame:
+    """The sampled rows of docs, with all their columns."""
+    return _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column).where("__kept").select(*docs.columns)
 
 
 def oracle(rate=0.5, temper=0.7, seed=17, rounds=ROUNDS):

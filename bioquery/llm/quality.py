@@ -143,3 +143,16 @@ def score(docs: DataFrame, model: Model, cut=0.5, id_column="doc_id", text_colum
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, cut=0.5, text_column="text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least cut."""
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(batch.column(at)) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
