@@ -63,6 +63,12 @@ def _with_fold(scores, modulus, remainder):
     return scores.select("doc_id", (common.fold("doc_id", modulus) == remainder).alias("held_out"), "score", "predicted")
 
 
+def op9_katz(spark, sf_dir):
+    from bioquery.llm.katz import score
+
+    return score(common.table(spark, sf_dir, "documents"), common.fold("doc_id", 7) == 2)
+
+
 def op10_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
