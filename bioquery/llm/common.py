@@ -1,8 +1,10 @@
 """What the operators of this subpackage share: stored tables, components, folds."""
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,14 @@ class Store:
         """Deletes tables whose readers have all run, and lets Spark free their shuffles."""
         for df in frames:
             self._delete(df._stored_at)
-        self.spark.sparkContext._jvm.System.gc()
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of plans that have run; else they stay until the driver's next collection."""
+        for _ in range(2):  # the first lets go of the plans, the second of what they alone held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.7)  # Spark's cleaner works beside
 
     def _delete(self, path: str) -> None:
         try:

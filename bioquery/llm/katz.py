@@ -23,7 +23,7 @@ Counts are kept in tables that are partitioned by key, and never gathered whole:
    that some unseen pair of the block backs off from.
 4. Each block scores its tokens by these answers, by recursion from pair to word.
 
-Words are told apart by 64-bit hashes.  Edges: null and empty texts are one end;
+Words are told apart by 64-bit hashes, those that follow one word by 56 bits.  Edges: null and empty texts are one end;
 null ids hash as empty text and are returned null; rows that repeat are texts of
 their own; without training texts the count tables are empty and every token has
 probability 1 as unknown.  Extra columns are not looked at.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from bioquery.llm import common, words
 
 CUTOFF, EPSILON = 5, 0.001
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 HOT_LEAST = 1 / 2000  # share of all tokens below which a first word is never dealt by both words
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -73,6 +73,17 @@ def _distinct(x):
     return ordered[head], inverse
 
 
+def _top_bytes(x):
+    """The upper 7 bytes of 64-bit values: they tell the followers of one word apart."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:])
+
+
+def _from_top_bytes(x):
+    out = np.zeros((len(x), 8), dtype=np.uint8)
+    out[:, 1:] = x
+    return out.view("<u8").ravel()
+
+
 class Discounts:
     """Multipliers of counts: Good-Turing up to CUTOFF where its estimates are sound, else half a count off."""
 
@@ -203,12 +214,13 @@ def _count_words(batches):
 class Block:
     """A block with the global counts of its vocabulary, and its distinct pairs."""
 
-    def __init__(self, texts, own, counts, unigrams, parts):
+    def __init__(self, texts, own, unigrams, parts):
         data = _load(texts)
         self.ids, self.known, self.held = data["ids"], data["known"], data["held"]
         self.lengths, self.index = data["lengths"].astype(np.int64), data["index"].astype(np.int64)
         own = _load(own)
-        self.vocabulary, self.counts = own["vocabulary"], counts
+        self.vocabulary, counts = own["vocabulary"], own["counts"].astype(np.int64)
+        self.counts = counts
         n = len(self.vocabulary)
         self.starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.index)
@@ -236,12 +248,12 @@ class Block:
                 head = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
                 yield p, {
                     "first": self.first_hash[at[head]], "hot": self.hot[at[head]], "run": _tight(np.diff(np.append(head, b - a))),
-                    "second": self.vocabulary[self.second[at]], "seen": _tight(seen[at]), "single": _tight(self.counts[self.second[at]]),
+                    "second": _top_bytes(self.vocabulary[self.second[at]]), "seen": _tight(seen[at]), "single": _tight(self.counts[self.second[at]]),
                 }
 
 
 def _by_block(make):
-    """Runs make(block id, texts, words, answers of words, answers of pairs) for each block of a partition."""
+    """Runs make(block id, texts, words, answers) for each block of a partition."""
 
     def run(batches):
         now = None
@@ -251,11 +263,11 @@ def _by_block(make):
                 if now is None or now[0] != block:
                     if now is not None:
                         yield from make(*now)
-                    now = (block, None, None, [], [])
+                    now = (block, None, None, [])
                 if turn == 0:
-                    now = (block, texts.as_py(), own.as_py(), now[3], now[4])
+                    now = (block, texts.as_py(), own.as_py(), now[3])
                 else:
-                    now[2 + turn].append(answer.as_py())
+                    now[3].append(answer.as_py())
         if now is not None:
             yield from make(*now)
 
@@ -275,7 +287,8 @@ def _count_pairs(unigrams):
         runs, size = take("run", np.int64), [len(a["second"]) for a in asks]
         heads = [len(a["first"]) for a in asks]
         first, hot = take("first", np.uint64), take("hot", bool)
-        first_all, second, seen, single = np.repeat(first, runs), take("second", np.uint64), take("seen", np.int64), take("single", np.int64)
+        second = _from_top_bytes(take("second", np.uint8))
+        first_all, seen, single = np.repeat(first, runs), take("seen", np.int64), take("single", np.int64)
         order = np.lexsort((second, first_all))
         f, s = first_all[order], second[order]
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))
@@ -323,26 +336,40 @@ def score(docs: DataFrame, held_out, id_column="doc_id", text_column="text") ->
     total = np.sum(facts, axis=0) if facts else np.zeros(CUTOFF + 4, dtype=np.int64)
     unigrams = Unigrams(total[0], total[1], total[2:-1], total[-1])
 
-    def rows_of(*answers):
+    def gathered(blocks, answers, make, schema):
         empty = F.lit(None).cast("binary")
         rows = blocks.select("block", F.lit(0).alias("turn"), F.lit(-1).alias("part"), "texts", "words", empty.alias("answer"))
-        for turn, answer in enumerate(answers, 1):
-            rows = rows.unionByName(answer.where("block >= 0").select("block", F.lit(turn).alias("turn"), "part", empty.alias("texts"), empty.alias("words"), "answer"))
+        rows = rows.unionByName(answers.where("block >= 0").select("block", F.lit(1).alias("turn"), "part", empty.alias("texts"), empty.alias("words"), "answer"))
         # partition numbers run from 0, and few partitions have more than one block
         place = F.pmod(F.shiftright("block", 20) + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)) * 7919, F.lit(n_blocks)).cast("int")
-        return rows.repartitionById(n_blocks, place).sortWithinPartitions("block", "turn", "part").select("block", "turn", "texts", "words", "answer")
+        rows = rows.repartitionById(n_blocks, place).sortWithinPartitions("block", "turn", "part")
+        return rows.select("block", "turn", "texts", "words", "answer").mapInArrow(_by_block(make), schema)
 
-    def ask_pairs(number, texts, own, of_own, _):
+    def know(number, texts, own, answers):
         import pyarrow as pa
 
-        block = Block(texts, own, _join_counts(of_own), unigrams, parts)
-        for p, ask in block.asks(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([number]), pa.array([_pack(**ask)], type=pa.binary())], names=["part", "block", "ask"])
+        words_of = _pack(vocabulary=_load(own)["vocabulary"], counts=_tight(_join_counts(answers)))
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([texts], type=pa.binary()), pa.array([words_of], type=pa.binary())], names=["block", "texts", "words"])
+
+    # blocks with the answers are written again, so that neither the first ones nor that shuffle stay beside the pairs
+    known = store.put(gathered(blocks, of_words, know, "block long, texts binary, words binary"), "known", "none")
+    del asked
+    store.drop(blocks, of_words)
+
+    def ask_pairs(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for number, texts, own in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for p, ask in Block(texts.as_py(), own.as_py(), unigrams, parts).asks(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([number.as_py()]), pa.array([_pack(**ask)], type=pa.binary())], names=["part", "block", "ask"])
 
-    asked = rows_of(of_words).mapInArrow(_by_block(ask_pairs), "part int, block long, ask binary").repartitionById(parts, F.col("part"))
+    asked = known.mapInArrow(ask_pairs, "part int, block long, ask binary").repartitionById(parts, F.col("part"))
     of_pairs = store.put(asked.mapInArrow(_count_pairs(unigrams), "block long, part int, answer binary"), "pairs", "none")
     facts = [_load(bytes(r["answer"])) for r in of_pairs.where("block = -1").select("answer").collect()]
     total = np.sum([f["stats"] for f in facts], axis=0) if facts else np.zeros(CUTOFF + 2, dtype=np.int64)
+    del asked
+    store.sweep()
     discounts = Discounts(total[:-1])
     # contexts whose pairs lie in many partitions: at most 1 / HOT_LEAST
     hot, index = _distinct(np.concatenate([f["hot"] for f in facts])) if facts else (np.zeros(0, dtype=np.uint64), None)
@@ -354,11 +381,11 @@ def score(docs: DataFrame, held_out, id_column="doc_id", text_column="text") ->
         left = discounts.left(facts[:, :CUTOFF].T, facts[:, CUTOFF]) / context
         return left / (1 - facts[:, CUTOFF + 1])
 
-    def evaluate(number, texts, own, of_own, of_pair):
+    def evaluate(number, texts, own, of_pair):
         import pyarrow as pa
 
-        counts = _join_counts(of_own)
-        block = Block(texts, own, counts, unigrams, parts)
+        block = Block(texts, own, unigrams, parts)
+        counts = block.counts
         answers = [_load(a) for a in of_pair]
         pair = np.empty(len(block.first), dtype=np.int64)
         pair[block.order] = np.concatenate([a["counts"].astype(np.int64) for a in answers])
@@ -387,4 +414,4 @@ def score(docs: DataFrame, held_out, id_column="doc_id", text_column="text") ->
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows_of(of_words, of_pairs).mapInArrow(_by_block(evaluate), schema)
+    return gathered(known, of_pairs, evaluate, schema)
