@@ -7,21 +7,27 @@ there are fewer).  Two documents link when
 
 1. Documents with equal sets form a class, named by 64 bits of a digest.
 2. Size bands: a linked pair differs in at most ``d`` n-grams, where ``d``
-   follows from the larger size.  The range of hashes is cut into ``k > d``
-   sections, so that at least ``k - d`` sections of two linked documents agree.
-   Each section is one hash of the n-grams in it; band, section and hash form
-   the key of a tile, and every linked pair meets in a tile of its band.
+   follows from their sizes.  The range of hashes is cut into ``k > d``
+   sections, the same for the whole band.  Each section is one hash of the
+   n-grams in it; band, section and hash form the key of a tile.  A document
+   sends its first ``d + 1`` sections that hold n-grams: the one of a linked pair
+   that stops at the earlier section has at most ``d`` that the other lacks, so
+   the pair meets in a tile of its band.  A document with fewer such sections
+   sends all ``k``, empty ones too.  A task sends each tile to the others once,
+   packed; what it holds of a tile with several members is known to be shared.
 3. In each tile all members are compared with its hub, the member that meets
-   most others: rows grow with the members, not with their pairs.  What this
-   links is contracted.
-4. Where a tile holds several components after that, its members are dealt into
-   parts of about ``block`` rows.  Pairs of parts are compared, but pairs within
+   most others: rows grow with the members, not with their pairs.  Every member
+   meets the hub that it shares most tiles with first; what this links is
+   contracted, and of the other pairs those between components follow.
+4. Where a tile holds several components beside its hub after that, its members
+   are dealt into parts of about ``block`` rows.  Pairs of parts are compared, but pairs within
    one component are not, nor is the largest component sent to meet itself.
    So no link between components is lost, and none is searched for where it
    cannot change the result.
 
 A comparison bounds the intersection from above by the bits of two hashed bitmap
 signatures first, and intersects the sorted arrays exactly if the bound allows.
+Sets are sent only to where the bound leaves them a partner.
 
 Edges: null and empty texts, and texts without words, have size 0 and link with
 nothing; rows that repeat an id are one document with one of their texts' sets
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from bioquery.llm import common, words
 
 BITS = 1024  # of a bitmap signature
+KEYS_AT_ONCE = 1 << 20  # keys that a task packs together, about 60 MB with the arrays of sorting
+KEYS_A_BUCKET = 1 << 20  # keys that meet in one group, if every n-gram gave one; fewer do
 
 
 class Threshold:
@@ -53,7 +61,7 @@ class Threshold:
         return -(-self.numerator * size // self.denominator)
 
     def bands(self, size):
-        """(band, sections, allowed differences) of the bands that a set of this size is in.
+        """(band, sections, differences from any partner) of the bands that a set of this size is in.
 
         Bands start at sizes that grow by a quarter.  A set is in the band of its
         size, and in those above while it can link with a set there.
@@ -61,11 +69,16 @@ class Threshold:
         out, band = [], self.band(size)
         while size >= self.smallest(self.edge(band)):
             high = self.edge(band + 1) - 1
-            allowed = 2 * high * (self.denominator - self.numerator) // (self.denominator + self.numerator)
-            out.append((band, allowed + allowed // 4 + 2 if allowed else 1, allowed))
+            most = self.differences(high, high)
+            partner = min(high, size * self.denominator // self.numerator)
+            out.append((band, most + most // 4 + 2 if most else 1, self.differences(size, partner)))
             band += 1
         return out
 
+    def differences(self, a, b):
+        """How many n-grams at most are in only one of linked sets of sizes up to a and b."""
+        return (a + b) * (self.denominator - self.numerator) // (self.denominator + self.numerator)
+
     @staticmethod
     def edge(band):
         return int(1.25**band) if band >= 12 else band + 1 if band < 8 else (9, 11, 12, 14)[band - 8]
@@ -92,7 +105,7 @@ def _sets(column, width):
 
 
 def _signatures(grams, threshold):
-    """Keys of the tiles of a set: one for each band and section."""
+    """Keys of the tiles of a set: in each band, those of one section more than may differ."""
     keys = []
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words.mix(grams))])
     for band, sections, allowed in threshold.bands(len(grams)):
@@ -101,12 +114,77 @@ def _signatures(grams, threshold):
         cuts = np.concatenate([[0], cuts, [len(grams)]])
         tag = words.mix(np.arange(sections, dtype=np.uint64) + np.uint64(band << 40))
         key = words.mix(tag ^ (total[cuts[1:]] - total[cuts[:-1]]))
-        filled = cuts[1:] > cuts[:-1]
-        # two sets that agree only on empty sections have both at least sections - allowed of them
-        keys.append(key if (~filled).sum() >= sections - allowed else key[filled])
+        filled = np.flatnonzero(cuts[1:] > cuts[:-1])
+        # two sets that both have too few filled sections agree on one of all, maybe an empty one
+        keys.append(key[filled[: allowed + 1]] if len(filled) > allowed else key)
     return np.concatenate(keys)
 
 
+def _planes(values):
+    """Bytes of the values by significance: the high ones of sorted values compress to almost nothing."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data, dtype):
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _distinct_members(tile, node):
+    """Members sorted by tile, without repeats."""
+    order = np.lexsort((node, tile))
+    tile, node = tile[order], node[order]
+    new = np.append(True, (tile[1:] != tile[:-1]) | (node[1:] != node[:-1]))
+    return tile[new], node[new]
+
+
+def _in_company(tile):
+    """Which of sorted tiles are there more than once."""
+    same = tile[1:] == tile[:-1]
+    return np.append(False, same) | np.append(same, False)
+
+
+def _packed(tile, node, buckets):
+    """Members (arrays of uint64) as rows (bucket, shared, tiles, nodes, which): which gives each tile's place in nodes.
+
+    One member of each tile goes to the bucket of its tile.  All members of tiles
+    that have several here are shared whatever others hold; they go to the bucket
+    of tile and node, so that a frequent tile doesn't fill one bucket.
+    """
+    import pyarrow as pa
+
+    tile, node = _distinct_members(tile, node)
+    first, company = np.append(True, tile[1:] != tile[:-1]), _in_company(tile)
+    rows = []
+    for shared, kept in ((False, first), (True, company)):
+        t, d = tile[kept], node[kept]
+        bucket = ((t if not shared else words.mix(t ^ words.mix(d))) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        if shared:
+            order = np.argsort(bucket, kind="stable")
+            t, d, bucket = t[order], d[order], bucket[order]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(t) else []
+        for a, b in zip(starts, [*starts[1:], len(t)], strict=True):
+            names, which = np.unique(d[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), shared, _planes(t[a:b]), _planes(names), _planes(which.astype(np.uint32))))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shared", "tiles", "nodes", "which"])
+
+
+def _shared_members(pdf):
+    """Members of tiles that several sets share, from the packed rows of one bucket."""
+    import pandas as pd
+
+    sent = {False: [], True: []}
+    for shared, tiles, nodes, which in zip(pdf["shared"], pdf["tiles"], pdf["nodes"], pdf["which"], strict=True):
+        sent[bool(shared)].append((_from_planes(tiles, np.uint64), _from_planes(nodes, np.uint64)[_from_planes(which, np.uint32)]))
+    out = sent[True]
+    if sent[False]:
+        tile, node = _distinct_members(*(np.concatenate(x) for x in zip(*sent[False], strict=True)))
+        several = _in_company(tile)
+        out.append((tile[several], node[several]))
+    tile, node = _distinct_members(*(np.concatenate(x) for x in zip(*out, strict=True)))
+    return pd.DataFrame({"tile": tile.view(np.int64), "node": node.view(np.int64)})
+
+
 def _bitmap(grams):
     bits = np.zeros(BITS, dtype=bool)
     bits[(grams >> np.uint64(40)).astype(np.int64) % BITS] = True
@@ -134,24 +212,54 @@ def _linked(a, b, bits_a, bits_b, threshold):
     return min(len(a), len(b)) >= needed and _bound(bits_a, bits_b, len(a), len(b)) >= needed and _overlap(a, b) >= needed
 
 
+def _bounded_rows(threshold):
+    """Keeps the rows (a, b, size of a, size of b, bitmap of a, bitmap of b) whose bound allows a link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            bits_a, bits_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            needed = threshold.needed(size_a, size_b)
+            keep = (np.minimum(size_a, size_b) >= needed) & (_bound(bits_a, bits_b, size_a, size_b) >= needed)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def _pair_rows(threshold):
-    """Keeps the linked of rows (a, b, grams of a, grams of b); rows with one a follow each other."""
+    """Keeps the linked of rows (a, b, grams of a, grams of b)."""
 
     def run(batches):
         import pyarrow as pa
 
-        last, left, bits = None, None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, left = a[i], np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint64)
-                    bits = _bitmap(left)
-                right = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
-                if _linked(left, right, bits, _bitmap(right), threshold):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], type=pa.int64()), pa.array([b[i] for i in keep], type=pa.int64())], names=["a", "b"])
+            sets = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(i)] for i in (2, 3)]
+            keep = [_overlap(x, y) >= threshold.needed(len(x), len(y)) for x, y in zip(*sets, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def _possible(threshold):
+    """Members of one pair of blocks that the bound allows to link with a member of another component there."""
+
+    def run(pdf):
+        pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
+        label, size = pdf["component"].to_numpy(), pdf["n"].to_numpy()
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
+        keep = np.zeros(len(pdf), dtype=bool)
+        last = np.searchsorted(size, size * threshold.denominator // threshold.numerator, side="right")
+        for i in range(len(pdf)):
+            others = np.arange(i + 1, last[i])
+            others = others[label[others] != label[i]]
+            others = others[_bound(bits[i], bits[others], size[i], size[others]) >= threshold.needed(size[i], size[others])]
+            keep[others] = True
+            keep[i] |= len(others) > 0
+        return pdf.loc[keep, ["node", "component", "area", "i", "j"]]
 
     return run
 
@@ -185,18 +293,24 @@ def _block_pairs(threshold):
 
 
 def _grams_of(rows, width):
-    """(node, n, grams) of rows (node, text): the set as bytes of sorted uint64."""
+    """(node, n, bits, grams) of rows (node, text) whose text has that class: the set as bytes of sorted uint64."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            nodes, seen = batch.column(0).to_pylist(), set()
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [g for _, g in _sets(part.column(1), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in sets], type=pa.int64()), pa.array([g.tobytes() for g in sets], type=pa.binary())], names=["node", "n", "grams"])
+                out = []
+                for row, grams in _sets(batch.column(1).slice(at, 512), width):
+                    node = nodes[at + row]
+                    if node not in seen and _class_of(grams) == node:
+                        seen.add(node)
+                        out.append((node, len(grams), _bitmap(grams).tobytes(), grams.tobytes()))
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "bits", "grams"])
 
-    return rows.mapInArrow(run, "node long, n long, grams binary")
+    return rows.mapInArrow(run, "node long, n long, bits binary, grams binary")
 
 
 def _class_of(grams):
@@ -223,38 +337,48 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     sizes = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long"), "sizes")
     classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
 
-    def tiles(batches):
-        import pyarrow as pa
+    grams_in_all = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * common.partitions(spark), grams_in_all // KEYS_A_BUCKET + 1)
 
+    def tiles(batches):
+        keys, nodes, held = [], [], 0
         for batch in batches:
-            keys, nodes, held = [], [], 0
-            for row, grams in _sets(batch.column(0), width):
-                if len(grams):
-                    keys.append(_signatures(grams, threshold))
-                    nodes.append(np.full(len(keys[-1]), _class_of(grams)))
-                    held += len(keys[-1])
-                if held > 100_000 or row == batch.num_rows - 1 and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["tile", "node"])
+            for _, grams in _sets(batch.column(0), width):
+                if not len(grams):
+                    continue
+                keys.append(_signatures(grams, threshold))
+                nodes.append(np.full(len(keys[-1]), _class_of(grams)).view(np.uint64))
+                held += len(keys[-1])
+                if held > KEYS_AT_ONCE:
+                    yield _packed(np.concatenate(keys), np.concatenate(nodes), buckets)
                     keys, nodes, held = [], [], 0
+        if held:
+            yield _packed(np.concatenate(keys), np.concatenate(nodes), buckets)
 
-    # copies send the rows of their class again; sums before the shuffle merge those of one task
-    members = texts.select("text").mapInArrow(tiles, "tile long, node long")
-    several = members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("tile")
-    shared = store.put(members.join(store.put(several, "several").hint("merge"), "tile").distinct(), "tiles")
+    packed = texts.select("text").mapInArrow(tiles, "bucket int, shared boolean, tiles binary, nodes binary, which binary")
+    shared = store.put(packed.groupBy("bucket").applyInPandas(lambda pdf: _shared_members(pdf), "tile long, node long").distinct(), "tiles")
     hubs = store.put(_hubs(shared), "hubs")
     shared = store.put(shared.join(hubs, "tile"), "tiles")
-    pairs = shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = store.put(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("first", "node")
-    grams = _grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width)
-    sets = store.put(grams.dropDuplicates(["node"]), "sets")
-
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    links = store.put(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
+    store.sweep()
+    pairs = store.put(shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")), "pairs")
+    involved = pairs.select(F.explode(F.array("node", "hub")).alias("node")).distinct().join(classes, "node").select("first", "node")
+    sets = store.put(_grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width), "sets")
+    store.sweep()
+
+    # each with the hub that it meets most first; then those that are still apart
+    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    most = pairs.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select("node", "top.hub")
+    links = _compare(store, most.select(*ends).distinct(), sets, threshold)
+    labels = store.put(common.components(spark, links, store), "labels")
+    of = {c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")}
+    apart = pairs.select(*ends).distinct().join(of["a"], "a", "left").join(of["b"], "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+    links = links.unionByName(_compare(store, apart.select("a", "b"), sets, threshold))
     labels = store.put(common.components(spark, links, store), "labels")
-    known = shared.join(labels, "node", "left").select("tile", "hub", "node", F.coalesce("component", "node").alias("component"))
-    split = store.put(known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile"), "split")
+    store.sweep()
+    # hubs have met all others of their tiles
+    known = shared.where("node <> hub").join(labels, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
+    split = known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor")).where("low < high")
+    split = store.put(split.select("tile", "anchor"), "split")
     more = _blocks(spark, store, known, split, sets, threshold, block)
     if more is not None:
         labels = store.put(common.components(spark, links.unionByName(more), store), "labels")
@@ -268,6 +392,19 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     return full.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+def _compare(store, pairs, sets, threshold):
+    """The linked of pairs (a, b): by the bound of the bitmaps, and of what that leaves by the sets."""
+
+    def both(rows, *columns):
+        for end in ("a", "b"):
+            side = sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+            rows = rows.join(side.hint("merge"), end)
+        return rows.select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
+
+    close = store.put(both(pairs, "n", "bits").mapInArrow(_bounded_rows(threshold), "a long, b long"), "close")
+    return store.put(both(close, "grams").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
+
+
 def _hubs(shared):
     """(tile, hub): of a tile's members the one that meets most others, over all its tiles.
 
@@ -279,7 +416,7 @@ def _hubs(shared):
 
 
 def _blocks(spark, store, known, split, sets, threshold, block):
-    """Links between the components of tiles that hold several; None if there are no such tiles.
+    """Links between the components of tiles (tile, anchor: a member) that hold several; None if there are no such tiles.
 
     Tiles that share members form an area.  Its largest component is not
     compared with itself: the other members are dealt into parts, its own
@@ -287,8 +424,8 @@ def _blocks(spark, store, known, split, sets, threshold, block):
     """
     if split.isEmpty():
         return None
-    groups = store.put(known.join(split, "tile").select("node", "hub", "component").distinct(), "groups")
-    area = common.components(spark, groups.select(F.col("node").alias("a"), F.col("hub").alias("b")), store).withColumnRenamed("component", "area")
+    groups = store.put(known.join(split, "tile").select("node", "anchor", "component").distinct(), "groups")
+    area = common.components(spark, groups.select(F.col("node").alias("a"), F.col("anchor").alias("b")), store).withColumnRenamed("component", "area")
     placed = store.put(groups.select("node", "component").distinct().join(area, "node"), "areas")
     count = placed.groupBy("area", "component").agg(F.count("*").alias("n"))
     largest = count.groupBy("area").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
@@ -299,5 +436,8 @@ def _blocks(spark, store, known, split, sets, threshold, block):
     outer, inner = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(-1), -F.col("inner"))
     cells = dealt.select("node", "component", "area", F.when(F.col("inside"), -1 - F.col("part")).otherwise(F.col("part")).alias("part"), F.explode(F.when(F.col("inside"), outer).otherwise(F.concat(inner, outer))).alias("other"))
     cells = cells.select("node", "component", "area", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = cells.join(sets.hint("merge"), "node")
+    bounds = cells.join(sets.select("node", "n", "bits").hint("merge"), "node").groupBy("area", "i", "j")
+    possible = store.put(bounds.applyInPandas(_possible(threshold), "node long, component long, area long, i int, j int"), "possible")
+    store.sweep()
+    rows = possible.join(sets.select("node", "n", "grams").hint("merge"), "node")
     return store.put(rows.groupBy("area", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long"), "more")
