@@ -76,3 +76,21 @@ def test_bands_cover_linked_sizes():
 
 def test_empty_table(spark):
     assert nj.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_packed_members_of_shared_tiles():
+    """Tasks send a frequent tile once each; what several sets share comes out whole, and nothing else."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    tiles = r.integers(0, 1 << 64, 300, dtype=np.uint64)
+    tasks = [(tiles[np.append(r.integers(0, 300, 120), [7] * 50)], r.integers(0, 40, 170).astype(np.uint64)) for _ in range(4)]
+    parts = pd.concat([nj._packed(t, d, 16).to_pandas() for t, d in tasks])
+    got = pd.concat([nj._shared_members(p) for _, p in parts.groupby("bucket")])
+    members = {(int(t), int(d)) for task in tasks for t, d in zip(*task, strict=True)}
+    owners = {}
+    for t, d in members:
+        owners.setdefault(t, set()).add(d)
+    got = {(int(np.int64(t).view(np.uint64)), int(d)) for t, d in zip(got["tile"], got["node"], strict=True)}
+    assert got == {(t, d) for t, d in members if len(owners[t]) > 1}
