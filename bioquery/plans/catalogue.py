@@ -479,9 +479,7 @@ def manifest_verify(spark, sf):
 
 
 def _log(spark, sf):
-    text = F.substring("text", 1, 60)
-    lines = _t(spark, sf, "conversations").select(F.col("conv_id").alias("log"), F.col("turn").alias("line"), text.alias("msg"))
-    return lines
+    return _t(spark, sf, "conversations").select(F.col("conv_id").alias("log"), F.col("turn").alias("line"), F.col("text").alias("msg"))
 
 
 @query()

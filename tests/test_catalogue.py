@@ -58,6 +58,12 @@ def test_hash_chain(spark):
     assert rows == {i: 1 for i in turns if i % 7 == 0}
 
 
+def test_hash_chain_covers_whole_messages(spark):
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    assert max(len(t or "") for t in texts.values()) > 60
+    assert {(r.log, r.line): r.msg for r in catalogue._log(spark, SF).collect()} == texts
+
+
 def test_sidecar_fields(spark):
     recordings = spark.createDataFrame([("r", "s/eeg", ["sub-1", "task-a"])], "rec string, dir string, ents array<string>")
     side = spark.createDataFrame([("", [], 1, 2), ("s", ["sub-1"], None, 3), ("s/eeg", ["task-b"], 9, 9)], "dir string, ents array<string>, a int, b int")
