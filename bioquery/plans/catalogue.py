@@ -379,6 +379,19 @@ def events_on_clock(spark, sf):
     return signal.on_clock(events, _s(spark, sf), 250.0).groupBy("kind").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
+@query(f"""WITH {S}, l AS (SELECT max(t) + 1 AS ticks FROM s), e AS (SELECT o_orderkey AS kind, (o_orderkey * 7919 % ticks)::DOUBLE / 250 AS a FROM orders, l),
+  b AS (SELECT *, unnest(range(floor(a)::BIGINT, floor(a + 0.4::DOUBLE)::BIGINT + 1)) AS band FROM e), p AS (SELECT t::DOUBLE / 250 AS s, count(*) AS n, sum(x) AS x FROM s GROUP BY t)
+  SELECT kind, sum(n)::BIGINT AS n, sum(x)::BIGINT AS total FROM b JOIN p ON floor(s)::BIGINT = band WHERE s >= a AND s < a + 0.4::DOUBLE GROUP BY kind""")
+def events_on_clock_all(spark, sf):
+    """Every order is an event, spread over the recording's length; channels are summed by tick before the join."""
+    df = _s(spark, sf)
+    ticks = df.agg((F.max("t") + 1).alias("ticks"))
+    start = (F.col("o_orderkey") * 7919 % F.col("ticks")).cast("double") / 250
+    events = _t(spark, sf, "orders").crossJoin(F.broadcast(ticks)).select(F.col("o_orderkey").alias("kind"), start.alias("start_s"), (start + 0.4).alias("end_s"))
+    by_tick = df.groupBy("t").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+    return signal.on_clock(events, by_tick, 250.0).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("x").alias("total"))
+
+
 @query("""WITH g AS (SELECT l_orderkey AS rec, l_quantity::BIGINT AS spr, sum(l_quantity::BIGINT)::BIGINT AS weight FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)
   SELECT rec, spr FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY weight DESC, spr DESC) AS rn FROM g) WHERE rn = 1""")
 def dominant_rate_group(spark, sf):

@@ -64,6 +64,12 @@ def test_hash_chain_covers_whole_messages(spark):
     assert {(r.log, r.line): r.msg for r in catalogue._log(spark, SF).collect()} == texts
 
 
+def test_all_orders_are_events(spark):
+    rows = catalogue.queries()["events_on_clock_all"](spark, SF).collect()
+    assert {r.kind for r in rows} == {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    assert max(r.n for r in rows) > 400
+
+
 def test_sidecar_fields(spark):
     recordings = spark.createDataFrame([("r", "s/eeg", ["sub-1", "task-a"])], "rec string, dir string, ents array<string>")
     side = spark.createDataFrame([("", [], 1, 2), ("s", ["sub-1"], None, 3), ("s/eeg", ["task-b"], 9, 9)], "dir string, ents array<string>, a int, b int")
