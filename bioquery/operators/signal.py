@@ -224,6 +224,14 @@ def residual_across(df: DataFrame, gains: DataFrame) -> DataFrame:
     return df.join(reference, ["ch", "t"], "left").withColumn("y", F.col("x") - F.shiftright(F.coalesce("total", F.lit(0).cast("long")), 16))
 
 
+def blocks32(df: DataFrame, vector="v") -> DataFrame:
+    """A row with a block number for every 32 numbers of an array of doubles; the last block is padded with zeros."""
+    v = F.col(vector)
+    starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(32)))
+    cut = F.transform(starts, lambda at: F.slice(F.concat(v, F.array_repeat(F.lit(0.0), 31)), at, F.lit(32)))
+    return df.select(*[c for c in df.columns if c != vector], F.posexplode(cut).alias("block", vector))
+
+
 def wht32(df: DataFrame, vector="v", keys=("id",)) -> DataFrame:
     """Walsh-Hadamard transform of arrays of 32 numbers, as sums with signs from the parity of common bits."""
     sign = lambda k: lambda x, i: F.when(F.bit_count(i.bitwiseAND(F.lit(k))) % 2 == 0, x).otherwise(-x)

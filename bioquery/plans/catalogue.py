@@ -347,6 +347,14 @@ def wht_level(spark, sf):
     return signal.wht32(half, keys=("vec_id",)).withColumn("y", F.round("y", 4))
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+  SELECT vec_id, i // 32 AS block, k, round(sum(CASE WHEN bit_count(i % 32 & k) % 2 = 0 THEN x::DOUBLE ELSE -x::DOUBLE END), 4) AS y FROM v, (SELECT unnest(range(32)) AS k) GROUP BY vec_id, i // 32, k""")
+def wht_level_all(spark, sf):
+    """Every block of 32 components, the last one padded with zeros."""
+    blocks = signal.blocks32(_t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")))
+    return signal.wht32(blocks, keys=("vec_id", "block")).withColumn("y", F.round("y", 4))
+
+
 @query()
 def bfp_pack(spark, sf):
     """Scale, mantissas and largest error of 16-bit block floating point; checked against numpy in the tests."""

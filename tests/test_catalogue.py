@@ -70,6 +70,15 @@ def test_all_orders_are_events(spark):
     assert max(r.n for r in rows) > 400
 
 
+def test_every_block_is_transformed(spark):
+    sizes = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    rows = catalogue.queries()["wht_level_all"](spark, SF).groupBy("vec_id").count().collect()
+    assert {r.vec_id: r["count"] for r in rows} == {i: 32 * -(-n // 32) for i, n in sizes.items()}
+    df = spark.createDataFrame([(1, [1.0] * 33), (2, []), (3, None), (4, [2.0] * 32)], "id int, v array<double>")
+    got = sorted((r.id, r.block, r.v) for r in signal.blocks32(df).collect())
+    assert got == [(1, 0, [1.0] * 32), (1, 1, [1.0] + [0.0] * 31), (4, 0, [2.0] * 32)]
+
+
 def test_sidecar_fields(spark):
     recordings = spark.createDataFrame([("r", "s/eeg", ["sub-1", "task-a"])], "rec string, dir string, ents array<string>")
     side = spark.createDataFrame([("", [], 1, 2), ("s", ["sub-1"], None, 3), ("s/eeg", ["task-b"], 9, 9)], "dir string, ents array<string>, a int, b int")
