@@ -2,9 +2,14 @@
 
 Tokens are counted by cell (source, language, topic) on all documents; the cells
 are raked in turn to the target shares of the three margins until all hold.
-Every cell gets a weight (1 on average over tokens); a document is sampled with
-probability ``min(1, rate * weight)``, by a hash of its id, so the sample does
-not depend on order, partitions or retries.
+Every cell gets a weight (1 on average over tokens) and a probability: rate *
+weight where that is at most 1 everywhere, else cells are capped at 1 and the
+others raked again, so that expected tokens keep the margins.  A rate too high
+for that is lowered to one that can hold them (with a warning); so is told which
+targets the weights themselves miss.  A document is sampled by a hash of its id,
+so the sample does not depend on order, partitions or retries.  With
+``calibrated=False`` the probability is ``min(1, rate * weight)``, and margins
+miss their targets by what is clipped.
 
 Targets are shares by category, summed to 1; a margin without given targets is
 tempered: shares in proportion to its token counts to the power ``temper``.
@@ -18,6 +23,8 @@ tokens has weight 1 everywhere; null ids are hashed as empty text.  Extra column
 are not looked at.
 """
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +62,52 @@ def rake(counts, codes, targets, rounds=ROUNDS):
     return np.divide(mass, counts, out=np.ones(len(counts)), where=counts > 0)
 
 
-def _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column):
+def calibrate(counts, codes, weights, rate, rounds=500, halvings=12):
+    """(probabilities of cells, rate): expected tokens have the margins of the weighted counts.
+
+    The rate is the given one if cells capped at probability 1 can hold the
+    margins, else a lower one, found by halving; 1 / largest weight always can.
+    """
+    counts, weights = np.asarray(counts, dtype=float), np.asarray(weights, dtype=float)
+    live = counts > 0
+    rate, top = min(float(rate), 1.0), weights[live].max(initial=0.0)
+    if rate * top <= 1:
+        return np.minimum(1.0, rate * weights), rate
+    wants = [np.bincount(code, weights * counts) for code in codes]
+
+    def capped(r):
+        mass = np.minimum(r * weights, 1.0) * counts
+        for _ in range(rounds):
+            for code, want in zip(codes, wants, strict=True):
+                have = np.bincount(code, mass, len(want))
+                mass = np.minimum(mass * np.divide(r * want, have, out=np.zeros(len(want)), where=have > 0)[code], counts)
+            if all(np.all(np.abs(np.bincount(code, mass, len(want)) - r * want) <= 1e-6 * r * want) for code, want in zip(codes, wants, strict=True)):
+                return np.divide(mass, counts, out=np.minimum(1.0, r * weights), where=live)
+        return None
+
+    found = capped(rate)
+    if found is not None:
+        return found, rate
+    low, high = 1 / top, rate
+    best = np.minimum(1.0, low * weights)
+    for _ in range(halvings):
+        middle = (low + high) / 2
+        found = capped(middle)
+        if found is None:
+            high = middle
+        else:
+            low, best = middle, found
+    return best, low
+
+
+def _unmet(counts, codes, shares, weights, names):
+    """Categories whose weighted share is not the target."""
+    mass = counts * weights
+    have = [np.bincount(code, mass, len(share)) / mass.sum() for code, share in zip(codes, shares, strict=True)]
+    return [name for h, share, ns in zip(have, shares, names, strict=True) for x, want, name in zip(h, share, ns, strict=True) if abs(x - want) > 1e-4 * max(want, 1e-4)]
+
+
+def _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column, calibrated):
     """The rows of docs with __source, __lang, __topic, __tokens, __weight, __probability and __kept."""
     spark = docs.sparkSession
     none = F.lit("(none)")
@@ -66,36 +118,44 @@ def _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column)
     if len(cells) > max_cells:
         raise ValueError(f"more than {max_cells} cells")
     counts = np.array([c["n"] for c in cells], dtype=float)
-    codes, shares = [], []
+    codes, shares, categories = [], [], []
     for margin in margins:
         names = sorted({c[margin] for c in cells})
         code = np.array([names.index(c[margin]) for c in cells], dtype=int)
         given = (targets or {}).get(margin[2:])
         have = np.bincount(code, counts, len(names)) if names else np.zeros(0)
         share = np.array([given.get(name, 0.0) for name in names]) if given else have**temper
+        categories.append([f"{margin[2:]} {name}" for name in names])
         codes.append(code)
         shares.append(share / share.sum() if share.sum() else share)
     weights = rake(counts, codes, shares) if counts.sum() else np.ones(len(cells))
-    table = [(*(c[m] for m in margins), float(w)) for c, w in zip(cells, weights, strict=True)]
-    # at most max_cells rows of three short names and a number
-    raked = F.broadcast(spark.createDataFrame(table, ", ".join(f"{m} string" for m in margins) + ", __weight double"))
+    if calibrated and counts.sum():
+        probabilities, used = calibrate(counts, codes, weights, rate)
+        if used < min(rate, 1.0):
+            warnings.warn(f"the rate is lowered from {rate} to {used:.6f} so that the margins hold", stacklevel=3)
+        if unmet := _unmet(counts, codes, shares, weights, categories):
+            warnings.warn(f"targets that cannot be met: {', '.join(unmet[:20])} ({len(unmet)} in all)", stacklevel=3)
+    else:
+        probabilities = np.minimum(1.0, rate * weights)
+    table = [(*(c[m] for m in margins), float(w), float(p)) for c, w, p in zip(cells, weights, probabilities, strict=True)]
+    # at most max_cells rows of three short names and two numbers
+    raked = F.broadcast(spark.createDataFrame(table, ", ".join(f"{m} string" for m in margins) + ", __weight double, __probability double"))
     text_id = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(text_id.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    out = rows.join(raked, margins).withColumn("__probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("__weight")))
-    return out.withColumn("__kept", uniform < F.col("__probability"))
+    return rows.join(raked, margins).withColumn("__kept", uniform < F.col("__probability"))
 
 
-def mix(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text") -> DataFrame:
+def mix(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text", calibrated=True) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
     narrow = docs.select(id_column, text_column, "source", "lang")
-    out = _raked(narrow, targets, rate, temper, seed, max_cells, id_column, text_column)
+    out = _raked(narrow, targets, rate, temper, seed, max_cells, id_column, text_column, calibrated)
     names = {"source": "__source", "lang": "__lang", "topic": "__topic", "n_tokens": "__tokens", "weight": "__weight", "probability": "__probability", "kept": "__kept"}
     return out.select(F.col(id_column).alias("doc_id"), *[F.col(c).alias(name) for name, c in names.items()])
 
 
-def sample(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text") -> DataFrame:
+def sample(docs: DataFrame, targets=None, rate=0.5, temper=0.7, seed=17, max_cells=200_000, id_column="doc_id", text_column="text", calibrated=True) -> DataFrame:
     """The sampled rows of docs, with all their columns."""
-    return _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column).where("__kept").select(*docs.columns)
+    return _raked(docs, targets, rate, temper, seed, max_cells, id_column, text_column, calibrated).where("__kept").select(*docs.columns)
 
 
 def oracle(rate=0.5, temper=0.7, seed=17, rounds=ROUNDS):

@@ -27,3 +27,25 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="cells"):
         mixing.mix(df, max_cells=2)
+
+
+def test_probabilities_hold_the_margins(spark):
+    """Rare categories are lifted past probability 1 at this rate if cells are only clipped."""
+    rows = [(i, "w " * (3 if i % 50 else 150), "rare" if i % 40 == 0 else "hot" if i % 3 else "other", "de" if i % 11 == 0 else "en") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"rare": 0.2, "hot": 0.5, "other": 0.3}, "lang": {"en": 0.7, "de": 0.3}}
+    got = mixing.mix(df, targets, rate=0.3).collect()
+    assert max(0.3 * r.weight for r in got) > 1
+    assert max(r.probability for r in got) <= 1
+    total = sum(r.n_tokens * r.probability for r in got)
+    for margin, shares in targets.items():
+        for name, share in shares.items():
+            assert sum(r.n_tokens * r.probability for r in got if r[margin] == name) / total == pytest.approx(share, rel=1e-4)
+
+
+def test_calibrate_lowers_a_rate_that_no_cells_can_hold():
+    counts, codes = np.array([10.0, 990.0]), [np.array([0, 1])]
+    weights = mixing.rake(counts, codes, [np.array([0.5, 0.5])])
+    p, used = mixing.calibrate(counts, codes, weights, 0.5)
+    assert p == pytest.approx([1, 10 / 990], rel=1e-3)
+    assert used == pytest.approx(0.02, rel=1e-3)
