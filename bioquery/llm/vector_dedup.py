@@ -15,7 +15,8 @@ The number of shards depends on the number of vectors only above
 SHARD_ROWS x SHARDS, so queries times shards grow in proportion until then.
 
 Edges: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing; vectors of different lengths never link; rows that repeat an
+link with nothing; vectors of different lengths never link, and a length with at
+most FEW classes is compared exactly, all such lengths in one pass; rows that repeat an
 id count as vectors of their own; null ids get no links.  Extra columns are not
 looked at.
 """
@@ -31,6 +32,7 @@ from bioquery.llm import common
 SHARDS, SHARD_ROWS, QUERY_SPLITS, BLOCK = 6, 100_000, 2, 1024
 DEGREE, BUILD_BEAM, LAYER_RATIO = 12, 40, 24
 AUDIT = 48  # queries a task audits
+FEW = 256  # classes of one length that need no graph
 
 
 class Layer:
@@ -245,7 +247,10 @@ def link(vectors: DataFrame, threshold=0.95, beam=24, recall=0.99, id_column="ve
     rows = store.put(rows, "rows")
     classes = rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
     classes = store.put(classes.where("node is not null").withColumn("h", F.xxhash64("same")).withColumn("d", F.size("v")), "classes")
-    links = [store.put(_links(spark, classes.where(F.col("d") == d), store, threshold, beam, recall), "links") for (d,) in classes.select("d").distinct().orderBy("d").limit(64).collect()]
+    lengths = classes.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()
+    links = [store.put(_links(spark, classes.where(F.col("d") == d), store, threshold, beam, recall), "links") for d, n in lengths if n > FEW]
+    if few := [d for d, n in lengths if n <= FEW]:
+        links.append(store.put(_exact(classes.where(F.col("d").isin(few)), threshold), "links"))
     if not links:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     pairs = links[0]
@@ -262,6 +267,23 @@ def link(vectors: DataFrame, threshold=0.95, beam=24, recall=0.99, id_column="ve
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _exact(classes, threshold):
+    """The same pairs for lengths with few vectors each, by all cosines of a length."""
+
+    def pairs(pdf):
+        import pandas as pd
+
+        ids, x = pdf["node"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        one, two = ids[i], ids[j]
+        keep = one != two
+        return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep]})
+
+    return classes.select("d", "node", "v").groupBy("d").applyInPandas(pairs, "a long, b long").distinct()
+
+
 def _links(spark, classes, store, threshold, beam, recall):
     """Pairs a < b of classes of one vector length with a cosine of at least threshold."""
     n = classes.count()

@@ -45,6 +45,20 @@ def test_links_against_brute_force(spark):
     assert sum(got[k][1] == want[k][1] for k in got) >= 0.99 * len(want)
 
 
+def test_any_number_of_lengths(spark):
+    """70 lengths of a few vectors each; every length is searched."""
+    r = np.random.default_rng(5)
+    rows = []
+    for d in range(2, 72):
+        v = r.normal(size=d)
+        rows += [(10 * d + k, [float(x) for x in v + 0.02 * k]) for k in range(3)] + [(10 * d + 3, [float(-x) for x in v])]
+    want = {}
+    for d in range(2, 72):
+        want |= brute([x for x in rows if x[0] // 10 == d])
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in vd.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
 def test_graph_recall():
     r = np.random.default_rng(3)
     x = vd._unit(r.normal(size=(3000, 24)))
