@@ -637,3 +637,11 @@ def signal_digest(spark, sf):
 @query(f"WITH {S} SELECT t, coalesce(max(x) FILTER (ch = 'click'), 0) AS click, coalesce(max(x) FILTER (ch = 'view'), 0) AS view FROM s GROUP BY t")
 def export_wide(spark, sf):
     return _s(spark, sf).groupBy("t").pivot("ch", ["click", "view"]).agg(F.first("x")).fillna(0)
+
+
+_CHANNELS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"WITH {S} SELECT t, " + ", ".join(f"coalesce(max(x) FILTER (ch = '{c}'), 0) AS {c}" for c in _CHANNELS) + " FROM s GROUP BY t")
+def export_wide_all(spark, sf):
+    return _s(spark, sf).groupBy("t").pivot("ch", list(_CHANNELS)).agg(F.first("x")).fillna(0)

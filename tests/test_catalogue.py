@@ -79,6 +79,11 @@ def test_every_block_is_transformed(spark):
     assert got == [(1, 0, [1.0] * 32), (1, 1, [1.0] + [0.0] * 31), (4, 0, [2.0] * 32)]
 
 
+def test_every_channel_has_a_column(spark):
+    channels = {r.ch for r in samples(spark, SF).select("ch").distinct().collect()}
+    assert set(catalogue.queries()["export_wide_all"](spark, SF).columns) == channels | {"t"}
+
+
 def test_sidecar_fields(spark):
     recordings = spark.createDataFrame([("r", "s/eeg", ["sub-1", "task-a"])], "rec string, dir string, ents array<string>")
     side = spark.createDataFrame([("", [], 1, 2), ("s", ["sub-1"], None, 3), ("s/eeg", ["task-b"], 9, 9)], "dir string, ents array<string>, a int, b int")
