@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes, digits
-and identifier cues.  Local parsers then expand each anchor to the borders of
+One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes, digits,
+colons after hexadecimal digits and identifier cues.  Local parsers then expand each anchor to the borders of
 the value and validate it.  Every parser is deterministic and reads a character
 at most a fixed number of times, so a very long text costs time in proportion.
 
@@ -39,7 +39,8 @@ _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _PHONE = frozenset(" ().0123456789-")
 _HEX = frozenset("0123456789abcdefABCDEF:")
 _NUMBER_VALUE = re.compile(r"[\s]{0,3}(?:no\.?|number|nr\.?|#)?[\s]{0,3}[:=#]?[\s]{0,3}[\"']?([A-Za-z]{0,2}[0-9][0-9A-Za-z -]{4,40})")
-_SECRET_VALUE = re.compile(r"[\s]{0,3}[:=][\s]{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,512})")
+_SECRET_LEAD = re.compile(r"[\s]{0,3}[:=][\s]{0,3}[\"']?")
+_SECRET_RUN = re.compile(r"[A-Za-z0-9+/_.=-]*")
 _DOTTED = re.compile(r"\s{0,2}([A-Za-z0-9-]{1,63}(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\.)\s{0,2}[A-Za-z0-9-]{1,63}){1,8})")
 _USER = re.compile(r"([A-Za-z0-9._%+-]{1,64})\s{0,2}\Z")
 
@@ -52,7 +53,8 @@ def automaton():
         anchors.add_word(digit, "digit")
     anchors.add_word("@", "at")
     anchors.add_word("://", "scheme")
-    anchors.add_word("::", "colons")
+    for left in "0123456789abcdefABCDEF:":
+        anchors.add_word(left + ":", "colons")
     for kind, cues in (("number", NUMBER_CUES), ("secret", SECRET_CUES), ("spelled", AT_CUES)):
         for cue in cues:
             for form in {cue, cue.title(), cue.upper(), cue.capitalize()}:
@@ -155,7 +157,7 @@ def _ipv6(text, at):
     import ipaddress
 
     value = text[start:end]
-    if sum(c != ":" for c in value) < 4 or start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
+    if len(value) > 39 or sum(c != ":" for c in value) < 4 or start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
         return None
     try:
         ipaddress.IPv6Address(value)
@@ -182,17 +184,24 @@ def _account(text, end):
     return (start, start + number.end()) if number else None
 
 
-def _secret(text, end):
-    found = _SECRET_VALUE.match(text, end, min(len(text), end + 560))
-    if not found or not any(c.isdigit() for c in found[1]) and len(found[1]) < 16:
-        return None
-    return found.span(1)
+def _secret(text, end, run):
+    """The value after a cue that ends at end; run: the last (start, end) of value characters, which cues inside it share."""
+    lead = _SECRET_LEAD.match(text, end)
+    if not lead:
+        return None, run
+    start = lead.end()
+    if not run[0] <= start < run[1]:
+        run = _SECRET_RUN.match(text, start).span()
+    size = run[1] - start
+    if size < 8 or size < 16 and not any(c.isdigit() for c in text[start : run[1]]):
+        return None, run
+    return (start, run[1]), run
 
 
 def find(text: str, anchors):
     """(base spans, all spans) of a text; lists of (start, rank of the kind, end)."""
     base, more, runs = [], [], []
-    email_end, run_start, run_end = 0, -1, -1
+    email_end, run_start, run_end, secret_run = 0, -1, -1, (0, 0)
     for last, kind in anchors.iter(text):
         if kind == "digit":
             if last == run_end:
@@ -210,7 +219,7 @@ def find(text: str, anchors):
                 more.append(("contact", *wide))
         elif kind == "scheme":
             stop = last + 1
-            while stop < len(text) and stop - last < 256 and not text[stop].isspace() and text[stop] not in "/?#\"'<>":
+            while stop < len(text) and not text[stop].isspace() and text[stop] not in "/?#\"'<>":
                 stop += 1
             user = text.rfind("@", last + 1, stop)
             if user > last + 1:
@@ -222,7 +231,8 @@ def find(text: str, anchors):
             if found := _account(text, last + 1):
                 more.append(("account", *found))
         elif kind == "secret":
-            if found := _secret(text, last + 1):
+            found, secret_run = _secret(text, last + 1, secret_run)
+            if found:
                 more.append(("account", *found))
         elif kind == "spelled":
             cue = last - 3

@@ -59,6 +59,19 @@ def test_added(text, span):
     assert span in pd._joined(pd.find(text, ANCHORS)[1]).split(",")
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "address:5:44"),
+        ("token=" + "a1" * 1000, "account:6:2006"),
+        ("token=" * 3 + "a1" * 1000, "account:18:2018"),
+        ("https://bob:" + "p" * 600 + "@host/x", "account:8:612"),
+    ],
+)
+def test_added_in_full(text, span):
+    assert span in pd._joined(pd.find(text, ANCHORS)[1]).split(",")
+
+
 @pytest.mark.parametrize("text", ["", "Licensed under the Apache License, Version 2.0.", "the token of the account", "a@b", "12:30 :: x"])
 def test_clean(text):
     assert pd.find(text, ANCHORS) == ([], [])
