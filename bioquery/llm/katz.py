@@ -140,7 +140,7 @@ def _blocks(batches):
         out = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
         for first, raw, offsets in words.chunks(batch.column(2)):
             n = len(offsets) - 1
-            hashes, row = words.word_hashes(words.lower(raw), offsets)
+            hashes, row = words.word_hashes(raw, offsets)
             lengths = np.bincount(row, minlength=n) + 1
             tokens = np.full(lengths.sum(), words.END)
             tokens[np.arange(len(hashes)) + row] = hashes

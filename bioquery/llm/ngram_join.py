@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from bioquery.llm import common, words
 
 BITS = 1024  # of a bitmap signature
-KEYS_AT_ONCE = 1 << 20  # keys that a task packs together, about 60 MB with the arrays of sorting
+KEYS_AT_ONCE = 1 << 18  # keys that a task packs together, about 15 MB with the arrays of sorting
 KEYS_A_BUCKET = 1 << 20  # keys that meet in one group, if every n-gram gave one; fewer do
 
 
@@ -95,11 +95,15 @@ class Threshold:
 def _sets(column, width):
     """(row, sorted distinct n-gram hashes) of every text."""
     for first, raw, offsets in words.chunks(column):
-        hashes, row = words.word_hashes(words.lower(raw), offsets)
+        hashes, row = words.word_hashes(raw, offsets)
         at = np.searchsorted(row, np.arange(len(offsets)))
+        del row
         for i in range(len(offsets) - 1):
-            grams = np.sort(words.shingles(hashes[at[i] : at[i + 1]], width))
+            grams = words.shingles(hashes[at[i] : at[i + 1]], width)
+            if len(offsets) == 2:
+                hashes = None  # one very long text: not kept beside its set
             if len(grams) > 1:
+                grams.sort()
                 grams = grams[np.append(True, grams[1:] != grams[:-1])]
             yield first + i, grams
 

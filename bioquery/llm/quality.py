@@ -34,11 +34,10 @@ _CLOSE = np.array([c in b".,;:" for c in range(256)])
 def frequencies(raw, offsets):
     """Rows of DIMENSIONS square roots of relative term frequencies."""
     n = len(offsets) - 1
-    data = words.lower(raw)
-    starts, ends, row = words.word_bounds(data, offsets)
+    starts, ends, row = words.word_bounds(raw, offsets)
     if not len(starts):
         return np.zeros((n, DIMENSIONS), dtype=np.float32)
-    hashes, _ = words.word_hashes(data, offsets)
+    hashes, _ = words.word_hashes(raw, offsets)
     total = lambda mask: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(mask[raw])]))
     size, upper, letter, digit = ends - starts, total(_UPPER), total(_LETTER), total(_DIGIT)
     close = _CLOSE[raw[ends - 1]]

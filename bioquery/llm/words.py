@@ -8,9 +8,10 @@ share one with a chance of about 2**-64.  Nulls count as empty texts.
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # text bytes that are hashed at once: bounds the scratch arrays to about 40 bytes each
+CHUNK_BYTES = 512 << 10  # text bytes that are hashed at once: bounds the scratch arrays to about 40 bytes each
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWERED = np.frombuffer(_LOWER, dtype=np.uint8)
 _IS_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -29,6 +30,7 @@ def mix(x):
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_LOWER_VALUE = _BYTE_VALUE[_LOWERED]
 _POWERS = {}
 
 
@@ -93,14 +95,37 @@ def word_bounds(data, offsets):
 
 
 def word_hashes(data, offsets):
-    """(hash of each word, row of each word) of lower-cased bytes."""
-    starts, ends, row = word_bounds(data, offsets)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), row
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers(_BASE, len(data)), out=total[1:])
-    raw = (total[ends] - total[starts]) * powers(_INVERSE, len(data))[starts]
-    return mix(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row
+    """(hash of each word, row of each word); A-Z hash as lower-cased.
+
+    Bytes are taken CHUNK_BYTES at a time, so scratch doesn't grow with a text; a
+    word that is cut there is put together again: its hash is a polynomial.
+    """
+    raw, size, row = [], [], []
+    for a in range(0, len(data), CHUNK_BYTES):
+        part = data[a : a + CHUNK_BYTES]
+        low, high = np.searchsorted(offsets, [a, a + len(part)], side="right")
+        starts, ends, _ = word_bounds(part, np.concatenate([[0], offsets[low:high] - a, [len(part)]]))
+        if not len(starts):
+            continue
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_LOWER_VALUE[part] * powers(_BASE, len(part)), out=total[1:])
+        value = (total[ends] - total[starts]) * powers(_INVERSE, len(part))[starts]
+        length, of = (ends - starts).astype(np.uint64), (np.searchsorted(offsets, a + starts, side="right") - 1).astype(np.int32)
+        if starts[0] == 0 and row and of[0] == row[-1][-1] and _IS_WORD[data[a - 1]]:
+            raw[-1][-1:] += value[:1] * np.uint64(pow(_BASE, int(size[-1][-1]), 1 << 64))
+            size[-1][-1:] += length[:1]
+            value, length, of = value[1:], length[1:], of[1:]
+        if len(of):
+            raw.append(value)
+            size.append(length)
+            row.append(of)
+    if not row:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    if len(row) > 1:
+        raw, size, row = ([np.concatenate(x)] for x in (raw, size, row))
+    size[0] *= np.uint64(0xD6E8FEB86659FD93)
+    size[0] ^= raw[0]
+    return mix(size[0]), row[0]
 
 
 def shingles(hashes, width):
@@ -109,7 +134,12 @@ def shingles(hashes, width):
         return hashes
     width = min(width, len(hashes))
     n = len(hashes) - width + 1
-    out = np.full(n, np.uint64(width))
-    for k in range(width):
-        out = mix(out * np.uint64(_BASE) + hashes[k : k + n])
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, CHUNK_BYTES):
+        part = np.full(min(CHUNK_BYTES, n - at), np.uint64(width))
+        for k in range(width):
+            part *= np.uint64(_BASE)
+            part += hashes[at + k : at + k + len(part)]
+            part = mix(part)
+        out[at : at + len(part)] = part
     return out
