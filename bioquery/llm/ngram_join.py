@@ -5,7 +5,8 @@ Texts are lower-cased (A-Z) and split into words; a document's set holds the
 there are fewer).  Two documents link when
 ``denominator * |intersection| >= numerator * |union|``.
 
-1. Documents with equal sets form a class, named by 64 bits of a digest.
+1. Documents with equal sets form a class, named by 64 bits of a digest; where
+   its other 64 bits show that two classes share a name, they get other names.
 2. Size bands: a linked pair differs in at most ``d`` n-grams, where ``d``
    follows from their sizes.  The range of hashes is cut into ``k > d``
    sections, the same for the whole band.  Each section is one hash of the
@@ -43,6 +44,7 @@ from bioquery.llm import common, words
 
 BITS = 1024  # of a bitmap signature
 KEYS_AT_ONCE = 1 << 18  # keys that a task packs together, about 15 MB with the arrays of sorting
+MOST_CLASHES = 100_000  # names that several classes share: three are expected among 1e10 classes
 KEYS_A_BUCKET = 1 << 20  # keys that meet in one group, if every n-gram gave one; fewer do
 
 
@@ -136,6 +138,8 @@ def _from_planes(data, dtype):
 
 def _distinct_members(tile, node):
     """Members sorted by tile, without repeats."""
+    if not len(tile):
+        return tile, node
     order = np.lexsort((node, tile))
     tile, node = tile[order], node[order]
     new = np.append(True, (tile[1:] != tile[:-1]) | (node[1:] != node[:-1]))
@@ -145,7 +149,7 @@ def _distinct_members(tile, node):
 def _in_company(tile):
     """Which of sorted tiles are there more than once."""
     same = tile[1:] == tile[:-1]
-    return np.append(False, same) | np.append(same, False)
+    return np.append(False, same) | np.append(same, False) if len(tile) else np.zeros(0, dtype=bool)
 
 
 def _packed(tile, node, buckets):
@@ -162,11 +166,13 @@ def _packed(tile, node, buckets):
     rows = []
     for shared, kept in ((False, first), (True, company)):
         t, d = tile[kept], node[kept]
+        if not len(t):
+            continue
         bucket = ((t if not shared else words.mix(t ^ words.mix(d))) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         if shared:
             order = np.argsort(bucket, kind="stable")
             t, d, bucket = t[order], d[order], bucket[order]
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(t) else []
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(starts, [*starts[1:], len(t)], strict=True):
             names, which = np.unique(d[a:b], return_inverse=True)
             rows.append((int(bucket[a]), shared, _planes(t[a:b]), _planes(names), _planes(which.astype(np.uint32))))
@@ -296,7 +302,7 @@ def _block_pairs(threshold):
     return run
 
 
-def _grams_of(rows, width):
+def _grams_of(rows, width, clashes):
     """(node, n, bits, grams) of rows (node, text) whose text has that class: the set as bytes of sorted uint64."""
 
     def run(batches):
@@ -308,7 +314,7 @@ def _grams_of(rows, width):
                 out = []
                 for row, grams in _sets(batch.column(1).slice(at, 512), width):
                     node = nodes[at + row]
-                    if node not in seen and _class_of(grams) == node:
+                    if node not in seen and _class_of(grams, clashes) == node:
                         seen.add(node)
                         out.append((node, len(grams), _bitmap(grams).tobytes(), grams.tobytes()))
                 columns = zip(*out, strict=True) if out else [[]] * 4
@@ -317,11 +323,18 @@ def _grams_of(rows, width):
     return rows.mapInArrow(run, "node long, n long, bits binary, grams binary")
 
 
-def _class_of(grams):
-    """64 bits of a digest of the whole set: documents with one value have equal sets."""
+def _digest(grams):
+    """A digest of the whole set as two signed 64-bit numbers."""
     import hashlib
 
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+    data = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
+
+
+def _class_of(grams, clashes=frozenset()):
+    """Name of the class of a set; clashes: names that several classes would share."""
+    name, other = _digest(grams)
+    return other if name in clashes else name
 
 
 def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_column="doc_id", text_column="text") -> DataFrame:
@@ -335,11 +348,22 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
         import pyarrow as pa
 
         for batch in batches:
-            sets = [(len(g), _class_of(g)) for _, g in _sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], type=pa.int64()), pa.array([c for _, c in sets], type=pa.int64())], names=["doc_id", "n", "node"])
-
-    sizes = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long"), "sizes")
-    classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
+            sets = [(len(g), *_digest(g)) for _, g in _sets(batch.column(1), width)]
+            columns = [pa.array([s[k] for s in sets], type=pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "node", "other"])
+
+    digests = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long, other long"), "sizes")
+    clashes, sizes = frozenset(), digests
+    while True:  # runs once unless names clash
+        classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high")), "classes")
+        found = [r["node"] for r in classes.where("low <> high").select("node").limit(MOST_CLASHES + 1).collect()]
+        if not found:
+            break
+        if len(found) > MOST_CLASHES or clashes & set(found):
+            raise ValueError("too many classes share a name")
+        clashes = clashes | set(found)
+        renamed = digests.join(F.broadcast(spark.createDataFrame([(c,) for c in clashes], "clash long")), F.col("node") == F.col("clash"), "left")  # at most MOST_CLASHES numbers
+        sizes = renamed.select("doc_id", "n", F.when(F.col("clash").isNotNull(), F.col("other")).otherwise(F.col("node")).alias("node"), F.when(F.col("clash").isNotNull(), F.col("node")).otherwise(F.col("other")).alias("other"))
 
     grams_in_all = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * common.partitions(spark), grams_in_all // KEYS_A_BUCKET + 1)
@@ -351,7 +375,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
                 if not len(grams):
                     continue
                 keys.append(_signatures(grams, threshold))
-                nodes.append(np.full(len(keys[-1]), _class_of(grams)).view(np.uint64))
+                nodes.append(np.full(len(keys[-1]), _class_of(grams, clashes)).view(np.uint64))
                 held += len(keys[-1])
                 if held > KEYS_AT_ONCE:
                     yield _packed(np.concatenate(keys), np.concatenate(nodes), buckets)
@@ -366,7 +390,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     store.sweep()
     pairs = store.put(shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")), "pairs")
     involved = pairs.select(F.explode(F.array("node", "hub")).alias("node")).distinct().join(classes, "node").select("first", "node")
-    sets = store.put(_grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width), "sets")
+    sets = store.put(_grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width, clashes), "sets")
     store.sweep()
 
     # each with the hub that it meets most first; then those that are still apart

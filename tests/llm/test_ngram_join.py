@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from bioquery.llm import ngram_join as nj
@@ -94,3 +95,20 @@ def test_packed_members_of_shared_tiles():
         owners.setdefault(t, set()).add(d)
     got = {(int(np.int64(t).view(np.uint64)), int(d)) for t, d in zip(got["tile"], got["node"], strict=True)}
     assert got == {(t, d) for t, d in members if len(owners[t]) > 1}
+
+
+def test_packing_without_shared_tiles():
+    """A task may hold no tile with several members."""
+    tile, node = np.arange(1, 40, dtype=np.uint64) << np.uint64(50), np.arange(39, dtype=np.uint64)
+    rows = nj._packed(tile, node, 4).to_pandas()
+    assert not rows["shared"].any()
+    assert len(nj._shared_members(rows)) == 0
+
+
+def test_classes_that_share_a_name(spark, monkeypatch):
+    rows = corpus(7, 60)
+    real = nj._digest
+    monkeypatch.setattr(nj, "_digest", lambda grams: (len(grams) % 3, real(grams)[1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(df, 3, 90, 100).collect())
+    assert got == brute(rows, 3, 90, 100)
