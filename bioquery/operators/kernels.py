@@ -353,7 +353,7 @@ def depth(n):
     return next((level for level in (3, 2, 1) if n >= 4 << level), 0)
 
 
-def encode_window(x):
+def encode_window(x, predict=True):
     """The stage chain on a window: lifting, prediction, bias, Rice codes; a list of (coefficients, bytes) by band."""
     bands, a = [], np.asarray(x, dtype=np.int64)
     for _ in range(depth(len(a))):
@@ -361,7 +361,7 @@ def encode_window(x):
         bands.append(d)
     out = []
     for band in [a, *reversed(bands)]:
-        c = lpc_adaptive(band) if len(band) else []
+        c = lpc_adaptive(band) if predict and len(band) else []
         out.append((c, golomb_encode(bias_cancel(lpc_residual(band, c)))))
     return out
 

@@ -68,10 +68,13 @@ def sidecar_fields(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFr
 
 
 def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, status): the first failure of missing, size (only if one is expected) and content; else OK."""
-    have = files.select("path", F.col("size").alias("have_size"), F.col("sha256").alias("have_sha"))
+    """(path, status): the first failure of missing, size (only if one is expected) and content; else OK.
+
+    sha256 of files is that of the decoded signal; null: it could not be decoded.
+    """
+    have = files.select("path", F.col("size").alias("have_size"), F.col("sha256").alias("have_sha"), F.lit(True).alias("there"))
     size = (F.col("size") > 0) & (F.col("size") != F.col("have_size"))
-    status = F.when(F.col("have_sha").isNull(), "MISSING").when(size, "SIZE MISMATCH").when(F.col("sha256") != F.col("have_sha"), "SHA256 MISMATCH").otherwise("OK")
+    status = F.when(F.col("there").isNull(), "MISSING").when(size, "SIZE MISMATCH").when(F.col("sha256") != F.col("have_sha"), "SHA256 MISMATCH").when(F.col("have_sha").isNull(), "DECODE FAIL").otherwise("OK")
     return manifest.join(have, "path", "left").select("path", status.alias("status"))
 
 

@@ -20,13 +20,17 @@ def upper_median(df: DataFrame, value, keys) -> DataFrame:
     return ranked.where(F.col("below") > F.expr("total div 2")).groupBy(*keys).agg(F.min("v").alias("median"))
 
 
-def noise_floor(df: DataFrame, keys=("ch",)) -> DataFrame:
-    """Median absolute deviation with upper medians; channels over 2**20 samples are thinned evenly."""
+def noise_floor(df: DataFrame, keys=("ch",), thin_above=None) -> DataFrame:
+    """Median absolute deviation with upper medians, over all samples.
+
+    With thin_above, channels of more samples are thinned evenly to about so many.
+    """
     keys = list(keys)
-    step = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(1 << 20)))).cast("long").alias("step"))
-    thin = df.join(step, keys).where("t % step = 0")
-    middle = upper_median(thin, "x", keys).withColumnRenamed("median", "median_x")
-    spread = upper_median(thin.join(middle, keys), "abs(x - median_x)", keys).withColumnRenamed("median", "mad")
+    if thin_above:
+        step = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(float(thin_above)))).cast("long").alias("step"))
+        df = df.join(step, keys).where("t % step = 0")
+    middle = upper_median(df, "x", keys).withColumnRenamed("median", "median_x")
+    spread = upper_median(df.join(middle, keys), "abs(x - median_x)", keys).withColumnRenamed("median", "mad")
     return middle.join(spread, keys)
 
 
@@ -125,8 +129,32 @@ def lpc_residual(df: DataFrame, coefficients, shift=27, keys=("ch", "win")) -> D
     return df.withColumn("y", F.when(start, F.col("x")).otherwise(F.col("x") - F.shiftright(total, shift)))
 
 
-def first_difference(df: DataFrame, keys=("ch",)) -> DataFrame:
-    return df.withColumn("d", F.col("x") - F.lag("x").over(_along(keys)))
+BLOCK = 1 << 16  # samples of a channel that one task has at a time
+
+
+def blocked(df: DataFrame, before=0, after=0, order="t", size=BLOCK) -> DataFrame:
+    """Rows with the __block of their place; those near a border go to the neighbour too, there with __own false.
+
+    A window over (keys, __block) then sees before rows before and after rows
+    after each of its own, so a channel of any length is dealt to many tasks.
+    """
+    at, place = F.expr(f"{order} div {size}"), F.expr(f"{order} % {size}")
+    none = F.array().cast("array<bigint>")
+    blocks = F.array(at)
+    if before:
+        blocks = F.concat(blocks, F.when(place >= size - before, F.array(at + 1)).otherwise(none))
+    if after:
+        blocks = F.concat(blocks, F.when((place < after) & (at > 0), F.array(at - 1)).otherwise(none))
+    return df.withColumn("__block", F.explode(blocks)).withColumn("__own", F.col("__block") == at)
+
+
+def _own(df: DataFrame) -> DataFrame:
+    return df.where("__own").drop("__own", "__block")
+
+
+def first_difference(df: DataFrame, keys=("ch",), size=BLOCK) -> DataFrame:
+    """Difference d from the sample before; the first of a channel has none."""
+    return _own(blocked(df, before=1, size=size).withColumn("d", F.col("x") - F.lag("x").over(_along([*keys, "__block"]))))
 
 
 def entropy(df: DataFrame, value="x", keys=("ch",)) -> DataFrame:
@@ -143,53 +171,104 @@ def golomb(df: DataFrame, size=500, keys=("ch",)) -> DataFrame:
     return joined.groupBy(*keys, "win", "k").agg(F.sum(F.expr("shiftright(zz, k) + 1 + k")).alias("bits"), F.count("*").alias("n"))
 
 
-def zero_runs(df: DataFrame, value="x", keys=("ch",)) -> DataFrame:
-    """Lengths of runs of equal value: those of zeros, by start."""
-    numbered = df.withColumn("z", F.col(value) == 0).withColumn("rn", F.row_number().over(_along(keys)))
-    zeros = numbered.where("z").withColumn("island", F.col("rn") - F.row_number().over(_along(keys)))
-    return zeros.groupBy(*keys, "island").agg(F.min("t").alias("start_t"), F.count("*").alias("len")).drop("island")
-
+def zero_runs(df: DataFrame, value="x", keys=("ch",), size=BLOCK) -> DataFrame:
+    """(keys, start_t, len) of the runs of zeros at consecutive times.
 
-def lift(df: DataFrame, keys=("ch",)) -> DataFrame:
-    """One level of the integer 5/3 lifting transform: (keys, band, i, y); band a has the even places, d the odd ones."""
+    Runs are found in blocks; only those that touch a border of their block are
+    put in order along a channel and joined.
+    """
     keys = list(keys)
-    order = _along(keys)
-    near = df.withColumn("left", F.lag("x").over(order)).withColumn("right", F.lead("x").over(order))
-    odd = near.where("t % 2 = 1").select(*keys, F.expr("t div 2").alias("i"), F.when(F.col("right").isNull(), F.col("x") - F.col("left")).otherwise(F.col("x") - F.shiftright(F.col("left") + F.col("right"), 1)).alias("d"))
-    even = df.where("t % 2 = 0").select(*keys, F.expr("t div 2").alias("i"), "x")
-    both = even.join(odd, [*keys, "i"], "left")
-    before = F.lag("d").over(W.partitionBy(*keys).orderBy("i"))
-    step = (
-        F.when(F.col("d").isNull() & F.col("before").isNull(), F.lit(0))
-        .when(F.col("before").isNull(), F.shiftright(F.col("d") + 1, 1))
-        .when(F.col("d").isNull(), F.shiftright(F.col("before") + 1, 1))
-        .otherwise(F.shiftright(F.col("before") + F.col("d") + 2, 2))
+    zeros = blocked(df.where(F.col(value) == 0), size=size)
+    zeros = zeros.withColumn("island", F.col("t") - F.row_number().over(_along([*keys, "__block"])))
+    runs = zeros.groupBy(*keys, "__block", "island").agg(F.min("t").alias("start_t"), F.count("*").alias("len"))
+    touches = (F.col("start_t") % size == 0) | ((F.col("start_t") + F.col("len")) % size == 0)
+    order = W.partitionBy(*keys).orderBy("start_t")
+    border = runs.where(touches).withColumn("new", (F.col("start_t") != F.lag(F.col("start_t") + F.col("len"), 1, -1).over(order)).cast("int"))
+    border = border.withColumn("run", F.sum("new").over(order)).groupBy(*keys, "run").agg(F.min("start_t").alias("start_t"), F.sum("len").alias("len"))
+    return runs.where(~touches).select(*keys, "start_t", "len").unionByName(border.select(*keys, "start_t", "len"))
+
+
+def _predicted(left, right):
+    """What lifting takes from an odd sample: the mean of its neighbours, or the left one at the end."""
+    return F.when(right.isNull(), left).otherwise(F.shiftright(left + right, 1))
+
+
+def _update(before, here):
+    """What lifting adds to an even sample, from the details before and after it."""
+    return (
+        F.when(here.isNull() & before.isNull(), F.lit(0))
+        .when(before.isNull(), F.shiftright(here + 1, 1))
+        .when(here.isNull(), F.shiftright(before + 1, 1))
+        .otherwise(F.shiftright(before + here + 2, 2))
     )
-    low = both.withColumn("before", before).select(*keys, F.lit("a").alias("band"), "i", (F.col("x") + step).alias("y"))
-    return low.unionByName(odd.select(*keys, F.lit("d").alias("band"), "i", F.col("d").alias("y")))
-
-
-def lift_levels(df: DataFrame, levels=3, keys=("ch",)) -> DataFrame:
-    """Bands d1 .. dL and aL of repeated lifting of the even band."""
-    out = None
-    for level in range(1, levels + 1):
-        bands = lift(df, keys)
-        high = bands.where("band = 'd'").withColumn("band", F.lit(f"d{level}"))
-        out = high if out is None else out.unionByName(high)
-        df = bands.where("band = 'a'").select(*keys, F.col("i").alias("t"), F.col("y").alias("x"))
-    return out.unionByName(df.select(*keys, F.lit(f"a{levels}").alias("band"), F.col("t").alias("i"), F.col("x").alias("y")))
 
 
-def unlift(bands: DataFrame, keys=("ch",)) -> DataFrame:
+def lift(df: DataFrame, keys=("ch",), size=BLOCK) -> DataFrame:
+    """One level of the integer 5/3 lifting transform: (keys, band, i, y); band a has the even places, d the odd ones.
+
+    One window over blocks with two samples of their neighbours gives both bands.
+    """
+    order = _along([*keys, "__block"])
+    x = {k: F.lag("x", -k).over(order) for k in (-2, -1, 1, 2)}
+    near = _own(blocked(df, before=2, after=2, size=size).select("*", *[c.alias(f"x{k + 2}") for k, c in x.items()]))
+    here = F.col("x")
+    after, before = F.col("x3") - _predicted(here, F.col("x4")), F.col("x1") - _predicted(F.col("x0"), here)
+    even = F.col("t") % 2 == 0
+    y = F.when(even, here + _update(before, after)).otherwise(here - _predicted(F.col("x1"), F.col("x3")))
+    return near.select(*keys, F.when(even, "a").otherwise("d").alias("band"), F.expr("t div 2").alias("i"), y.alias("y"))
+
+
+def lift_levels(df: DataFrame, levels=3, keys=("ch",), size=BLOCK) -> DataFrame:
+    """Bands d1 .. dL and aL of repeated lifting of the even band, in one pass over blocks of a channel.
+
+    A block takes enough samples of its neighbours along that all levels are exact in its own places.
+    """
+    keys, halo = list(keys), 4 << levels
+    if size % halo:
+        raise ValueError(f"the block size must be a multiple of {halo}")
+    kinds = dict(df.dtypes)
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        from bioquery.operators import kernels
+
+        pdf = pdf.sort_values("t")
+        own, start = int(key[-1]) * size, int(pdf["t"].iloc[0])
+        a, out = pdf["x"].to_numpy(), []
+        for level in range(1, levels + 1):
+            a, d = kernels.lift(a)
+            out.append((f"d{level}", d, level))
+        out.append((f"a{levels}", a, levels))
+        parts = []
+        for band, y, level in out:
+            i = np.arange(len(y)) + (start >> level)
+            mine = (i >= own >> level) & (i < own + size >> level)
+            parts.append(pd.DataFrame({"band": band, "i": i[mine], "y": y[mine]}))
+        rows = pd.concat(parts)
+        for name, value in zip(keys, key, strict=False):
+            rows.insert(0, name, value)
+        return rows[[*keys, "band", "i", "y"]]
+
+    near = blocked(df.select(*keys, "t", "x"), before=halo, after=halo, size=size).drop("__own")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", band string, i long, y long"
+    return near.groupBy(*keys, "__block").applyInPandas(run, schema)
+
+
+def unlift(bands: DataFrame, keys=("ch",), size=BLOCK) -> DataFrame:
     """Samples (keys, t, x) of one level of bands a and d."""
     keys = list(keys)
-    a, d = bands.where("band = 'a'").select(*keys, "i", F.col("y").alias("a")), bands.where("band = 'd'").select(*keys, "i", F.col("y").alias("d"))
-    order = W.partitionBy(*keys).orderBy("i")
-    both = a.join(d, [*keys, "i"], "left").withColumn("before", F.lag("d").over(order))
-    step = F.when(F.col("d").isNull() & F.col("before").isNull(), F.lit(0)).when(F.col("before").isNull(), F.shiftright(F.col("d") + 1, 1)).when(F.col("d").isNull(), F.shiftright(F.col("before") + 1, 1)).otherwise(F.shiftright(F.col("before") + F.col("d") + 2, 2))
-    both = both.withColumn("even", F.col("a") - step).withColumn("next", F.lead("even").over(order))
-    odd = both.where("d is not null").select(*keys, (F.col("i") * 2 + 1).alias("t"), F.when(F.col("next").isNull(), F.col("d") + F.col("even")).otherwise(F.col("d") + F.shiftright(F.col("even") + F.col("next"), 1)).alias("x"))
-    return both.select(*keys, (F.col("i") * 2).alias("t"), F.col("even").alias("x")).unionByName(odd)
+    band = lambda b: F.max(F.when(F.col("band") == b, F.col("y"))).alias(b)
+    both = blocked(bands.groupBy(*keys, "i").agg(band("a"), band("d")), before=1, after=1, order="i", size=size)
+    order = W.partitionBy(*keys, "__block").orderBy("i")
+    at = {k: (F.lag("a", -k).over(order), F.lag("d", -k).over(order)) for k in (-1, 1)}
+    both = _own(both.select("*", at[-1][1].alias("before"), at[1][0].alias("next_a"), at[1][1].alias("next_d")))
+    even = F.col("a") - _update(F.col("before"), F.col("d"))
+    following = F.col("next_a") - _update(F.col("d"), F.col("next_d"))
+    odd = F.when(F.col("d").isNotNull(), F.struct((F.col("i") * 2 + 1).alias("t"), (F.col("d") + _predicted(even, following)).alias("x")))
+    rows = F.array_compact(F.array(F.struct((F.col("i") * 2).alias("t"), even.alias("x")), odd))
+    return both.select(*keys, F.inline(rows))
 
 
 def prd(a: DataFrame, b: DataFrame, keys=("ch",)) -> DataFrame:
@@ -206,9 +285,46 @@ def detail_threshold(df: DataFrame, factor=1.5, keys=("ch", "win")) -> DataFrame
     return df.join(level, list(keys), "left").withColumn("y", F.when(F.abs("x") < F.coalesce("level", F.lit(0.0)), 0).otherwise(F.col("x")))
 
 
-def trend(df: DataFrame, span=59, per=6, keys=("ch",)) -> DataFrame:
+def trend(df: DataFrame, span=59, per=6, keys=("ch",), size=BLOCK) -> DataFrame:
     """Slope over span steps, scaled; null before the ring is full."""
-    return df.withColumn("slope", (F.col("x") - F.lag("x", span).over(_along(keys))) * per)
+    return _own(blocked(df, before=span, size=size).withColumn("slope", (F.col("x") - F.lag("x", span).over(_along([*keys, "__block"]))) * per))
+
+
+def digest(df: DataFrame, keys=()) -> DataFrame:
+    """(keys, digest): SHA-256 over the samples of a recording as little-endian 64-bit integers, channel by channel.
+
+    Such a digest runs through a recording in order, so a recording is one
+    task's; its samples are sorted by Spark, which spills, and stream through.
+    """
+    keys, kinds = list(keys), dict(df.dtypes)
+    rows = df.select(*keys, "ch", "t", "x")
+    dealt = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "ch", "t")
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        now, sha, done = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()]
+            x = batch.column(len(keys) + 2).to_numpy(zero_copy_only=False).astype("<i8")
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if sha is None or names[a] != now:
+                    if sha is not None:
+                        done.append((*now, sha.hexdigest()))
+                    now, sha = names[a], hashlib.sha256()
+                sha.update(np.ascontiguousarray(x[a:b]).tobytes())
+        if sha is not None:
+            done.append((*now, sha.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_pylist([dict(zip([*keys, "digest"], row, strict=True)) for row in done])
+
+    return dealt.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "digest string"]))
 
 
 def on_clock(events: DataFrame, df: DataFrame, rate: float) -> DataFrame:

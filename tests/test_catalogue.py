@@ -5,6 +5,7 @@ import pathlib
 import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from bioquery.operators import records, signal
 from bioquery.plans import catalogue
@@ -42,6 +43,44 @@ def test_partitions_do_not_matter(spark):
         assert signal.noise_floor(part).exceptAll(signal.noise_floor(df)).count() == 0
 
 
+def test_blocks_do_not_matter(spark):
+    """Channels dealt in blocks give what whole channels give, at borders too."""
+    df = samples(spark, SF)
+    quiet = df.withColumn("x", F.when(F.abs("x") < 3000, 0).otherwise(F.col("x")))
+    for name, make in {
+        "difference": lambda size: signal.first_difference(df, size=size),
+        "trend": lambda size: signal.trend(df, size=size),
+        "lift": lambda size: signal.lift(df, size=size),
+        "unlift": lambda size: signal.unlift(signal.lift(df), size=size),
+        "levels": lambda size: signal.lift_levels(df, size=size),
+        "runs": lambda size: signal.zero_runs(quiet, size=size),
+    }.items():
+        whole = plain(r.asDict() for r in make(1 << 20).collect())
+        assert plain(r.asDict() for r in make(64).collect()) == whole, name
+    assert plain(r.asDict() for r in signal.unlift(signal.lift(df)).collect()) == plain(r.asDict() for r in df.collect())
+
+
+def test_long_zero_runs_cross_blocks(spark):
+    df = spark.createDataFrame([("a", t, 0 if 3 <= t < 40 or t == 50 else 1) for t in range(64)], "ch string, t long, x long")
+    assert sorted((r.start_t, r.len) for r in signal.zero_runs(df, size=8).collect()) == [(3, 37), (50, 1)]
+
+
+def test_digest_of_several_recordings(spark):
+    import hashlib
+
+    rows = [("r1", "b", 0, -1), ("r1", "a", 1, 5), ("r1", "a", 0, 7), ("r2", "a", 0, 2)]
+    df = spark.createDataFrame(rows, "rec string, ch string, t long, x long")
+    want = {r: hashlib.sha256(b"".join(x.to_bytes(8, "little", signed=True) for _, _, _, x in sorted(row for row in rows if row[0] == r))).hexdigest() for r in ("r1", "r2")}
+    assert {r.rec: r.digest for r in signal.digest(df, ("rec",)).collect()} == want
+
+
+def test_recursive_predictor_is_undone(spark):
+    rows = catalogue.queries()["rls_roundtrip"](spark, SF).collect()
+    x = {(r.ch, r.t): r.x for r in samples(spark, SF).collect()}
+    assert {(r.ch, r.t): r.z for r in rows} == x
+    assert any(r.y != r.z for r in rows)
+
+
 def test_selection_fails_closed(spark):
     df = samples(spark, SF)
     with pytest.raises(PySparkException, match="no channel"):
@@ -65,14 +104,14 @@ def test_hash_chain_covers_whole_messages(spark):
 
 
 def test_all_orders_are_events(spark):
-    rows = catalogue.queries()["events_on_clock_all"](spark, SF).collect()
+    rows = catalogue.queries()["events_on_clock"](spark, SF).collect()
     assert {r.kind for r in rows} == {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     assert max(r.n for r in rows) > 400
 
 
 def test_every_block_is_transformed(spark):
     sizes = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
-    rows = catalogue.queries()["wht_level_all"](spark, SF).groupBy("vec_id").count().collect()
+    rows = catalogue.queries()["wht_level"](spark, SF).groupBy("vec_id").count().collect()
     assert {r.vec_id: r["count"] for r in rows} == {i: 32 * -(-n // 32) for i, n in sizes.items()}
     df = spark.createDataFrame([(1, [1.0] * 33), (2, []), (3, None), (4, [2.0] * 32)], "id int, v array<double>")
     got = sorted((r.id, r.block, r.v) for r in signal.blocks32(df).collect())
@@ -81,7 +120,7 @@ def test_every_block_is_transformed(spark):
 
 def test_every_channel_has_a_column(spark):
     channels = {r.ch for r in samples(spark, SF).select("ch").distinct().collect()}
-    assert set(catalogue.queries()["export_wide_all"](spark, SF).columns) == channels | {"t"}
+    assert set(catalogue.queries()["export_wide"](spark, SF).columns) == channels | {"t"}
 
 
 def test_sidecar_fields(spark):
