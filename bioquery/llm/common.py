@@ -24,6 +24,14 @@ def fold(id_column, modulus: int):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def fresh(columns, name: str) -> str:
+    """A column name for the operator's own use that none of columns has, in any case."""
+    taken, name = {c.lower() for c in columns}, f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Store:
     """Tables in the shared checkpoint folder; they cut lineage and survive lost executors.
 

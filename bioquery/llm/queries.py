@@ -8,12 +8,6 @@ from bioquery.llm import common
 def op1_mixing(spark, sf_dir):
     from bioquery.llm.mixing import mix
 
-    return mix(common.table(spark, sf_dir, "documents"), calibrated=False).withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
-
-
-def op1_mixing_calibrated(spark, sf_dir):
-    from bioquery.llm.mixing import mix
-
     return mix(common.table(spark, sf_dir, "documents")).withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
 
 
