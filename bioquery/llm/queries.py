@@ -21,8 +21,8 @@ def op3_line_dedup(spark, sf_dir):
     from bioquery.llm.line_dedup import delete_later_copies
 
     rows = delete_later_copies(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.coalesce("__text", F.lit("")).cast("binary"), 256)
-    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.col("__runs").alias("deleted_runs"), digest.alias("text_sha256"))
+    digest = F.sha2(F.coalesce("__lines.text", F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", "__lines.n_lines", "__lines.n_deleted", F.col("__lines.runs").alias("deleted_runs"), digest.alias("text_sha256"))
 
 
 def op4_personal_data(spark, sf_dir):

@@ -19,9 +19,10 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which nothing is left goes."""
-    rows = line_dedup.delete_later_copies(docs).where("__n_deleted = 0 OR trim(__text) <> ''")
-    text = {"text": F.col("__text"), "n_chars": F.when(F.col("__n_deleted") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows = line_dedup.delete_later_copies(docs)
+    new = F.col(rows.columns[-1])
+    text = {"text": new["text"], "n_chars": F.when(new["n_deleted"] > 0, F.length(new["text"]).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return rows.where((new["n_deleted"] == 0) | (F.trim(new["text"]) != "")).select(*[text.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
