@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes, digits,
-colons after hexadecimal digits and identifier cues.  Local parsers then expand each anchor to the borders of
-the value and validate it.  Every parser is deterministic and reads a character
-at most a fixed number of times, so a very long text costs time in proportion.
+One Aho-Corasick pass over a text finds anchors in any case: at-signs, URL
+schemes, digits, colons after hexadecimal digits and identifier cues.  Local
+parsers then expand each anchor to the borders of the value and validate it; no
+value is cut at a length.  Every parser is deterministic and reads a character at
+most a fixed number of times, so a very long text costs time in proportion.
 
 Base kinds (leftmost, non-overlapping within a kind):
   email  local part @ domain of at least two labels
@@ -12,7 +13,7 @@ Base kinds (leftmost, non-overlapping within a kind):
   phone  + and 10 to 15 digits
 Added kinds:
   contact  an address with other letters than ASCII, or written with (at) and (dot)
-  address  an IPv6 address
+  address  an IPv6 address (postal addresses are not looked for)
   account  the credentials of a URL, or what follows an identifier cue: IBAN
            (checked modulo 97), social security and account numbers, keys and tokens
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "contact", "address", "account")
-#: What an account parser is tried after; lower, title and upper case are all cues.
+#: What an account parser is tried after, in any case.
 NUMBER_CUES = ("account", "acct", "iban", "ssn", "social security", "passport", "customer id", "member id")
 SECRET_CUES = ("token", "api_key", "api-key", "apikey", "api key", "secret", "password", "passwd", "access_key", "access key")
 AT_CUES = ("(at)", "[at]", "{at}")
@@ -37,12 +38,12 @@ AT_CUES = ("(at)", "[at]", "{at}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _PHONE = frozenset(" ().0123456789-")
+_HEX_RUN = re.compile(r"[0-9a-fA-F:]*")
 _HEX = frozenset("0123456789abcdefABCDEF:")
 _NUMBER_VALUE = re.compile(r"[\s]{0,3}(?:no\.?|number|nr\.?|#)?[\s]{0,3}[:=#]?[\s]{0,3}[\"']?([A-Za-z]{0,2}[0-9][0-9A-Za-z -]{4,40})")
 _SECRET_LEAD = re.compile(r"[\s]{0,3}[:=][\s]{0,3}[\"']?")
 _SECRET_RUN = re.compile(r"[A-Za-z0-9+/_.=-]*")
-_DOTTED = re.compile(r"\s{0,2}([A-Za-z0-9-]{1,63}(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\.)\s{0,2}[A-Za-z0-9-]{1,63}){1,8})")
-_USER = re.compile(r"([A-Za-z0-9._%+-]{1,64})\s{0,2}\Z")
+_DOTTED = re.compile(r"\s{0,2}([A-Za-z0-9-]+(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\.)\s{0,2}[A-Za-z0-9-]+)+)", re.IGNORECASE)
 
 
 def automaton():
@@ -53,16 +54,20 @@ def automaton():
         anchors.add_word(digit, "digit")
     anchors.add_word("@", "at")
     anchors.add_word("://", "scheme")
-    for left in "0123456789abcdefABCDEF:":
+    for left in "0123456789abcdef:":
         anchors.add_word(left + ":", "colons")
     for kind, cues in (("number", NUMBER_CUES), ("secret", SECRET_CUES), ("spelled", AT_CUES)):
         for cue in cues:
-            for form in {cue, cue.title(), cue.upper(), cue.capitalize()}:
-                anchors.add_word(form, kind)
+            anchors.add_word(cue, kind)
     anchors.make_automaton()
     return anchors
 
 
+def _lowered(text):
+    """The text in lower case, character by character."""
+    return text.replace("\u0130", "i").lower()  # the one character whose lower case is two
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -97,10 +102,10 @@ def _email(text, at, floor):
 def _wide_email(text, at):
     """An address whose letters may be of any script; both sides need letters or digits and a dotted domain."""
     start = at
-    while start > 0 and at - start < 64 and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+    while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
         start -= 1
     end = at + 1
-    while end < len(text) and end - at < 254 and (text[end].isalnum() or text[end] in ".-"):
+    while end < len(text) and (text[end].isalnum() or text[end] in ".-"):
         end += 1
     while end > at and text[end - 1] in ".-":
         end -= 1
@@ -147,23 +152,41 @@ def _numbers(text, runs):
     return out
 
 
-def _ipv6(text, at):
-    start = at
-    while start > 0 and at - start < 45 and text[start - 1] in _HEX:
-        start -= 1
-    end = at
-    while end < len(text) and end - at < 45 and text[end] in _HEX:
-        end += 1
+def _ipv6(text, at, floor):
+    """((start, end) or None, end of the run) of the run of hexadecimal digits and colons around at; floor: end of the run before."""
     import ipaddress
 
+    start = at
+    while start > floor and text[start - 1] in _HEX:
+        start -= 1
+    stop = end = _HEX_RUN.match(text, at).end()
+    if end - start > 2 and text[end - 1] == ":" and text[end - 2] != ":":
+        end -= 1  # a colon that ends a clause
+    # eight groups of four digits and seven colons are the longest
+    if not 6 <= end - start <= 39 or start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
+        return None, stop
     value = text[start:end]
-    if len(value) > 39 or sum(c != ":" for c in value) < 4 or start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
-        return None
+    if sum(c != ":" for c in value) < 4:
+        return None, stop
     try:
         ipaddress.IPv6Address(value)
     except ValueError:
+        return None, stop
+    return (start, end), stop
+
+
+def _spelled(text, cue, end):
+    """An address whose at-sign is written out from cue to end; the domain has a dot, written out or not."""
+    stop = cue
+    while stop > 0 and cue - stop < 2 and text[stop - 1].isspace():
+        stop -= 1
+    start = stop
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    host = _DOTTED.match(text, end)
+    if start == stop or not host or not re.search(r"dot|[A-Za-z0-9]\.[A-Za-z]", host[1], re.IGNORECASE):
         return None
-    return start, end
+    return start, host.end(1)
 
 
 def _account(text, end):
@@ -201,8 +224,8 @@ def _secret(text, end, run):
 def find(text: str, anchors):
     """(base spans, all spans) of a text; lists of (start, rank of the kind, end)."""
     base, more, runs = [], [], []
-    email_end, run_start, run_end, secret_run = 0, -1, -1, (0, 0)
-    for last, kind in anchors.iter(text):
+    email_end, run_start, run_end, secret_run, hex_end = 0, -1, -1, (0, 0), 0
+    for last, kind in anchors.iter(_lowered(text)):
         if kind == "digit":
             if last == run_end:
                 run_end += 1
@@ -225,8 +248,10 @@ def find(text: str, anchors):
             if user > last + 1:
                 more.append(("account", last + 1, user))
         elif kind == "colons":
-            if (found := _ipv6(text, last)) and ("address", *found) not in more[-1:]:
-                more.append(("address", *found))
+            if last >= hex_end:
+                found, hex_end = _ipv6(text, last, hex_end)
+                if found:
+                    more.append(("address", *found))
         elif kind == "number":
             if found := _account(text, last + 1):
                 more.append(("account", *found))
@@ -235,11 +260,8 @@ def find(text: str, anchors):
             if found:
                 more.append(("account", *found))
         elif kind == "spelled":
-            cue = last - 3
-            user = _USER.search(text, max(0, cue - 66), cue)
-            host = _DOTTED.match(text, last + 1, min(len(text), last + 200))
-            if user and host and re.search(r"dot|[A-Za-z0-9]\.[A-Za-z]", host[1]):
-                more.append(("contact", user.start(1), host.end(1)))
+            if found := _spelled(text, last - 3, last + 1):
+                more.append(("contact", *found))
     if run_end >= 0:
         runs.append((run_start, run_end))
     if runs:

@@ -66,6 +66,11 @@ def test_added(text, span):
         ("token=" + "a1" * 1000, "account:6:2006"),
         ("token=" * 3 + "a1" * 1000, "account:18:2018"),
         ("https://bob:" + "p" * 600 + "@host/x", "account:8:612"),
+        ('apiKey="24be64439e3e49cf46b2"', "account:8:28"),
+        ("İ SeCrEt: 24be64439e3e49cf46b2", "account:10:30"),
+        ("addresses 2001:db8:0:0:0:0:0:1: two", "address:10:30"),
+        ("jörg" * 100 + "@" + "bücher." * 50 + "de", "contact:0:753"),
+        ("u" * 100 + " (AT) " + "host" * 30 + " (Dot) org", "contact:0:236"),
     ],
 )
 def test_added_in_full(text, span):
@@ -82,3 +87,23 @@ def test_table(spark):
     rows = pd.scan(df).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in rows] == [(1, 0, ""), (1, 1, "email:0:6"), (None, 0, "")]
     assert pd.scan(df.limit(0)).count() == 0
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    for part in (":", "a:", "@", "a@", "a(at)", "token=", "1.", "1 ", "+1", "account 1", "https://a@"):
+        pd.find(part * 1000, ANCHORS)
+        seconds = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            pd.find(part * n, ANCHORS)
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 8 * seconds[0] + 0.2, part
+
+
+def test_repeated_rows_long_text_and_extra_columns(spark):
+    long = "word " * 2_000_000 + "a@b.cd"
+    df = spark.createDataFrame([(1, "a@b.cd", "x"), (1, "a@b.cd", "x"), (2, long, None)], "doc_id long, text string, n_email string")
+    rows = sorted((r.doc_id, r.n_email, r.spans) for r in pd.scan(df).collect())
+    assert rows == [(1, 1, "email:0:6")] * 2 + [(2, 1, "email:10000000:10000006")]
