@@ -5,7 +5,7 @@ pass runs over every input partition: it hashes each text, spreads what does not
 fit in memory over spill files by bits of the hash, recursively, until a bucket
 fits, and finds equal texts in an open-addressing table that compares complete
 contents.  So a group of copies leaves each partition as one text with a count
-and its largest id.  The second pass deals these texts by hash and does the same
+and its largest id; ids go out as they come and take no room.  The second pass deals these texts by hash and does the same
 for them; a group of any size arrives as one row per input partition.  Last,
 every document takes the result of its text by a join on the local group, whose
 rows come from one input partition.
@@ -17,6 +17,7 @@ not looked at.
 """
 
 import hashlib
+import itertools
 import os
 import pickle
 import shutil
@@ -37,7 +38,7 @@ class ContentTable:
 
     def __init__(self, slots=1 << 10):
         self.slots = np.full(slots, -1, dtype=np.int64)
-        self.hashes, self.contents, self.values = [], [], []
+        self.hashes, self.contents, self.numbers = [], [], []
         self.bytes = 0
 
     def slot(self, code, content):
@@ -49,15 +50,11 @@ class ContentTable:
             at = (at + 1) & mask
         return at, -1
 
-    def add(self, code, content, value):
-        at, entry = self.slot(code, content)
-        if entry >= 0:
-            self.values[entry].append(value)
-            return
+    def add(self, at, code, content, number):
         self.slots[at] = len(self.hashes)
         self.hashes.append(code)
         self.contents.append(content)
-        self.values.append([value])
+        self.numbers.append(number)
         self.bytes += len(content) + 200
         if 2 * len(self.hashes) > len(self.slots):
             self._grow()
@@ -71,12 +68,14 @@ class ContentTable:
                 at = (at + 1) & (size - 1)
             self.slots[at] = entry
 
-    def groups(self):
-        return zip(self.hashes, self.contents, self.values, strict=True)
 
+def grace(records, budget=BUDGET, held=0, level=0, folder=None, numbers=None):
+    """Groups records (hash, content, value) by whole contents.
 
-def grace(records, budget=BUDGET, level=0, folder=None):
-    """Groups (hash, content, values) of records (hash, content, value) with equal contents.
+    Yields (number, None, None, value) for every record at once, so that values
+    take no room here, and (number, hash, content, None) for every content when
+    all its records have been given out.  held: bytes that the caller keeps for
+    each value until then; they count towards the budget.
 
     Once the table is full, records of contents that it does not hold go to
     spill files by the next bits of their hash; those it holds are still added.
@@ -84,21 +83,30 @@ def grace(records, budget=BUDGET, level=0, folder=None):
     """
     table, files, own = ContentTable(), None, None
     shift = level * FAN_BITS
+    numbers = numbers or itertools.count()
     try:
         for code, content, value in records:
             if files is None and table.bytes > budget and shift < 60:
                 own = tempfile.mkdtemp(prefix="grace-", dir=folder)
                 files = [open(os.path.join(own, str(i)), "w+b") for i in range(1 << FAN_BITS)]  # noqa: SIM115
-            if files is None or table.slot(code, content)[1] >= 0:
-                table.add(code, content, value)
-            else:
+            at, entry = table.slot(code, content)
+            if entry < 0 and files is not None:
                 pickle.dump((code, content, value), files[code >> (60 - shift) & (1 << FAN_BITS) - 1], protocol=5)
-        yield from table.groups()
+                continue
+            if entry < 0:
+                number = next(numbers)
+                table.add(at, code, content, number)
+            else:
+                number = table.numbers[entry]
+            table.bytes += held
+            yield number, None, None, value
+        for number, code, content in zip(table.numbers, table.hashes, table.contents, strict=True):
+            yield number, code, content, None
         table = None
         for i, file in enumerate(files or ()):
             file.seek(0)
             if os.fstat(file.fileno()).st_size:
-                yield from grace(_reload(file), budget, level + 1, own)
+                yield from grace(_reload(file), budget, held, level + 1, own, numbers)
             file.close()
             os.remove(os.path.join(own, str(i)))
     finally:
@@ -156,12 +164,15 @@ def deduplicate(docs: DataFrame, budget=BUDGET, id_column="doc_id", text_column=
                         yield int.from_bytes(hashlib.sha256(content).digest()[:8], "big"), content, doc_id
 
         def rows():
-            for number, (code, content, ids) in enumerate(grace(records(), budget)):
-                group = base + number
-                known = [i for i in ids if i is not None]
-                yield group, code - (1 << 63), content, max(known, default=None), len(ids)
-                for i in ids:
-                    yield group, None, None, i, None
+            sums = {}  # of the contents in the table: how many records and the largest id
+            for number, code, content, doc_id in grace(records(), budget):
+                if content is None:
+                    n, top = sums.get(number, (0, None))
+                    sums[number] = n + 1, top if doc_id is None or top is not None and top > doc_id else doc_id
+                    yield base + number, None, None, doc_id, None
+                else:
+                    n, top = sums.pop(number)
+                    yield base + number, code - (1 << 63), content, top, n
 
         return _batches(rows(), ["grp", "code", "content", "doc_id", "n"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
@@ -178,7 +189,12 @@ def deduplicate(docs: DataFrame, budget=BUDGET, id_column="doc_id", text_column=
                         yield code + (1 << 63), content, tuple(value)
 
         def rows():
-            for _, content, parts in grace(records(), budget):
+            held = {}  # of the contents in the table: a value for each input partition that has it
+            for number, _, content, value in grace(records(), budget, held=160):
+                if content is None:
+                    held.setdefault(number, []).append(value)
+                    continue
+                parts = held.pop(number)
                 keep = max((top for _, top, _ in parts if top is not None), default=None)
                 size = sum(n for _, _, n in parts)
                 digest = hashlib.sha256(content).hexdigest()
