@@ -136,3 +136,75 @@ def electrode(label) -> Column:
     name = F.regexp_replace(F.regexp_replace(name, "-.*$", ""), "[. ]+$", "")
     known = {e.upper(): e for e in ELECTRODES} | ALIASES
     return F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), name)
+
+
+def round_ratio(numerator, denominator) -> Column:
+    """Nearest whole number of a ratio of longs, ties to the even one; the denominator must be positive."""
+    n, d = _c(numerator).cast("long"), _c(denominator).cast("long")
+    low = (n - F.pmod(n, d)) / d  # whole, so that the division is exact below 2**53
+    low = low.cast("long")
+    twice = F.pmod(n, d) * 2
+    return low + F.when((twice > d) | ((twice == d) & (F.pmod(low, F.lit(2)) == 1)), 1).otherwise(0)
+
+
+def q47_16(x, phys_min, phys_max, dig_min, dig_max) -> Column:
+    """Physical value by the linear map in 1/65536 units, ties to even; all bounds are whole numbers; null for an empty digital range."""
+    x, low, high, first, last = map(_c, (x, phys_min, phys_max, dig_min, dig_max))
+    span = last - first
+    scaled = ((x - first) * (high - low) + low * span) * 65536
+    return F.when(span > 0, round_ratio(scaled, F.when(span > 0, span).otherwise(1)))
+
+
+def q31_to_float(q) -> Column:
+    """Single-precision value of a fixed-point sample, times 1000."""
+    return (_c(q).cast("float") / F.lit(2147483647.0).cast("float")).cast("float") * F.lit(1000.0).cast("float")
+
+
+def _lowest_terms(numerator, denominator) -> Column:
+    """Struct (num, den) without common factors 2 and 5, of a denominator that has no others."""
+    start = F.struct(numerator.alias("num"), denominator.alias("den"))
+
+    def halved(by):
+        def step(r, _):
+            both = (r["num"] % by == 0) & (r["den"] % by == 0)
+            return F.struct(F.when(both, (r["num"] / by).cast("decimal(38,0)")).otherwise(r["num"]).alias("num"), F.when(both, (r["den"] / by).cast("decimal(38,0)")).otherwise(r["den"]).alias("den"))
+
+        return step
+
+    tries = F.sequence(F.lit(1), F.lit(18))
+    return F.aggregate(tries, F.aggregate(tries, start, halved(2)), halved(5))
+
+
+def decimal_ratio(text) -> Column:
+    """Struct (num, den) in lowest terms that a decimal text of up to 18 digits equals; null if it isn't one."""
+    text = F.trim(_c(text))
+    digits = F.regexp_replace(text, "[+.]", "")
+    places = F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1))
+    ok = text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$") & (F.length(F.regexp_replace(digits, "-", "")) <= 18)
+    ten = F.rpad(F.lit("1"), places + 1, "0").cast("decimal(38,0)")
+    return F.when(ok, _lowest_terms(F.when(ok, digits).otherwise("0").cast("decimal(38,0)"), ten))
+
+
+def float_ratio(x) -> Column:
+    """Struct (num, den) that a single-precision number exactly equals, den a power of two; null if it isn't finite or den is over 2**60."""
+    x = _c(x).cast("double")
+    powers = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda k: F.pow(F.lit(2.0), k))
+    den = F.element_at(F.filter(powers, lambda p: x * p == F.rint(x * p)), 1)
+    finite = ~F.isnan(x) & (F.abs(x) < float(1 << 62))
+    return F.when(finite & den.isNotNull(), F.struct((x * den).cast("long").alias("num"), den.cast("long").alias("den")))
+
+
+def template(pattern: str, path) -> Column:
+    """A path from a pattern with {stem}, {name}, {dir} and {ext} of another path."""
+    path = _c(path)
+    parts = {"stem": stem(path), "name": F.regexp_extract(path, r"([^/]*)$", 1), "dir": F.regexp_replace(path, r"/?[^/]*$", ""), "ext": F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)}
+    out = F.lit(pattern)
+    for name, value in parts.items():
+        if "{" + name + "}" in pattern:
+            out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def first_field(json, keys) -> Column:
+    """The first of several fields of a JSON text that is there."""
+    return F.coalesce(*[F.get_json_object(_c(json), f"$.{k}") for k in keys])

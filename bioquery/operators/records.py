@@ -25,6 +25,9 @@ def first_rule_of_group(df: DataFrame, keys, column: str, rules, default=None) -
     return best.select(*keys, name.otherwise(F.lit(default)).alias("matched"))
 
 
+CLASS_TAGS = {name: tag for tag, name in enumerate(scalar.CLASSES)}
+
+
 def glob_to_regex(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
@@ -67,6 +70,40 @@ def sidecar_fields(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFr
     return fits.groupBy("rec").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("depth"))).alias(f) for f in fields])
 
 
+def sidecar_problems(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFrame:
+    """(rec, fields.., problem): effective fields, and why they can't be had.
+
+    Two sidecars that fit at one level are ambiguous; else the first field that
+    none of them sets is missing; else the problem is null.
+    """
+    at = recordings.withColumn("up", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), n), "/")))).distinct()
+    side = sidecars.select(F.col("dir").alias("up"), F.col("ents").alias("of"))
+    levels = at.join(side, "up").where(F.size(F.array_except("of", "ents")) == 0).groupBy("rec", "up").agg(F.count("*").alias("n")).where("n > 1")
+    twice = levels.groupBy("rec").agg(F.min("up").alias("level"))
+    out = recordings.select("rec").distinct().join(sidecar_fields(recordings, sidecars, fields), "rec", "left").join(twice, "rec", "left")
+    problem = F.when(F.col("level").isNotNull(), F.concat(F.lit("ambiguous at /"), "level"))
+    for f in fields:
+        problem = problem.when(F.col(f).isNull(), f"missing {f}")
+    return out.select("rec", *fields, problem.alias("problem"))
+
+
+def electrode_forest(channels: DataFrame, references, supports=1) -> DataFrame:
+    """(rec, ch, parent, sign, shared, place) of channels (rec, ch, plus, minus): earlier channels that share an electrode.
+
+    Those that share one that isn't a reference come first, the latest of each
+    kind before earlier ones; of two shared electrodes a non-reference counts,
+    then the first by name.  sign is -1 where the roles differ.  Channels without
+    electrodes have no parent.
+    """
+    ends = channels.select("rec", "ch", F.explode(F.array(F.struct(F.col("plus").alias("shared"), F.lit(1).alias("role")), F.struct(F.col("minus").alias("shared"), F.lit(-1).alias("role")))).alias("e")).select("rec", "ch", "e.*").where("shared is not null")
+    prior = ends.select("rec", F.col("ch").alias("parent"), "shared", F.col("role").alias("other"))
+    both = ends.join(prior, ["rec", "shared"]).where("parent < ch")
+    rank = F.struct(F.col("shared").isin(*references).alias("reference"), "shared", (F.col("role") * F.col("other")).alias("sign"))
+    pairs = both.groupBy("rec", "ch", "parent").agg(F.min(rank).alias("best")).select("rec", "ch", "parent", "best.*")
+    order = W.partitionBy("rec", "ch").orderBy("reference", F.desc("parent"))
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= supports).select("rec", "ch", "parent", "sign", "shared", "place")
+
+
 def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """(path, status): the first failure of missing, size (only if one is expected) and content; else OK.
 
@@ -139,6 +176,29 @@ def node_id(class_tag, payload, parents):
     return F.sha2(F.concat(class_tag.cast("string"), F.lit("|"), sized(payload), F.lit("|"), F.array_join(F.transform(F.array_sort(parents), sized), "")).cast("binary"), 256)
 
 
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes and those of new whose id isn't there yet, once each: equal ids mean equal content."""
+    return nodes.unionByName(new.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+
+
+def typed_view(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, expected, actual, outcome) of wanted (id, expected): 'found', 'class mismatch', or 'missing'."""
+    have = nodes.select("id", F.col("class_tag").alias("actual"))
+    outcome = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("expected"), "found").otherwise("class mismatch")
+    return wanted.join(have, "id", "left").select("id", "expected", "actual", outcome.alias("outcome"))
+
+
+def promote(nodes: DataFrame, authority: str) -> DataFrame:
+    """Measured nodes from estimated ones: a new address, the estimate as the one parent, no uncertainty.
+
+    Only estimated nodes are promoted; the estimates stay as they are.
+    """
+    estimated = nodes.where(F.col("class_tag") == CLASS_TAGS["estimated"])
+    process = F.lit(f"promotion:{authority}")
+    tag, parents = F.lit(CLASS_TAGS["measured"]), F.array("id")
+    return estimated.select(node_id(tag, F.concat(process, F.lit("|"), "payload"), parents).alias("id"), tag.alias("class_tag"), "payload", parents.alias("parents"), F.lit(None).cast("double").alias("unc"), process.alias("process"))
+
+
 def dangling_parents(nodes: DataFrame) -> DataFrame:
     parents = nodes.select("id", F.explode("parents").alias("parent"))
     return parents.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent")

@@ -290,8 +290,8 @@ def trend(df: DataFrame, span=59, per=6, keys=("ch",), size=BLOCK) -> DataFrame:
     return _own(blocked(df, before=span, size=size).withColumn("slope", (F.col("x") - F.lag("x", span).over(_along([*keys, "__block"]))) * per))
 
 
-def digest(df: DataFrame, keys=()) -> DataFrame:
-    """(keys, digest): SHA-256 over the samples of a recording as little-endian 64-bit integers, channel by channel.
+def digest(df: DataFrame, keys=(), width=8) -> DataFrame:
+    """(keys, digest): SHA-256 over the samples of a recording as little-endian integers of width bytes, channel by channel.
 
     Such a digest runs through a recording in order, so a recording is one
     task's; its samples are sorted by Spark, which spills, and stream through.
@@ -311,7 +311,7 @@ def digest(df: DataFrame, keys=()) -> DataFrame:
             if not batch.num_rows:
                 continue
             names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()]
-            x = batch.column(len(keys) + 2).to_numpy(zero_copy_only=False).astype("<i8")
+            x = batch.column(len(keys) + 2).to_numpy(zero_copy_only=False).astype(f"<i{width}")
             starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
             for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 if sha is None or names[a] != now:
@@ -359,3 +359,43 @@ def dominant_rate(channels: DataFrame) -> DataFrame:
     """(rec, spr): the samples per record that most samples have; of ties the larger; annotation channels don't count."""
     groups = channels.where("not lower(label) like '%annotation%'").groupBy("rec", "spr").agg(F.sum("spr").alias("weight"))
     return groups.groupBy("rec").agg(F.max(F.struct("weight", "spr")).alias("top")).select("rec", F.col("top.spr").alias("spr"))
+
+
+def divert(channels: DataFrame) -> DataFrame:
+    """(rec, ch, path) of channels (rec, ch, label, spr): 'signal' at the recording's dominant rate, else 'secondary'; 'annotation' for those."""
+    note = F.lower("label").contains("annotation")
+    rates = dominant_rate(channels).withColumnRenamed("spr", "main")
+    path = F.when(note, "annotation").when(F.col("spr") == F.col("main"), "signal").otherwise("secondary")
+    return channels.join(rates, "rec", "left").select("rec", "ch", path.alias("path"))
+
+
+def cross_sums(df: DataFrame) -> DataFrame:
+    """(ch, ref, n, xr, rr, xx): sums of products of each channel with the earlier ones at the same time."""
+    refs = df.select(F.col("ch").alias("ref"), "t", F.col("x").alias("r"))
+    both = df.join(refs, "t").where("ref < ch")
+    total = lambda a, b: F.sum(F.col(a) * F.col(b))
+    return both.groupBy("ch", "ref").agg(F.count("*").alias("n"), total("x", "r").alias("xr"), total("r", "r").alias("rr"), total("x", "x").alias("xx"))
+
+
+def reference_choice(df: DataFrame, most=3) -> DataFrame:
+    """(ch, ref, gain, place): the earlier channels that take most energy off each, by least squares; gains have 16 fractional bits."""
+    sums = cross_sums(df).where("rr > 0")
+    gain = scalar.floor_div(F.floor(F.col("xr").cast("double") / F.col("rr") * 131072).cast("long") + 1, 2)
+    taken = F.col("xr").cast("double") * F.col("xr") / F.col("rr")
+    order = W.partitionBy("ch").orderBy(F.desc("taken"), "ref")
+    ranked = sums.select("ch", "ref", gain.alias("gain"), taken.alias("taken")).withColumn("place", F.row_number().over(order))
+    return ranked.where((F.col("place") <= most) & (F.col("gain") != 0)).select("ch", "ref", "gain", "place")
+
+
+def keep_smaller(df: DataFrame, gains: DataFrame) -> DataFrame:
+    """(ch, t, y, used): the residual across channels for channels whose sum of magnitudes it lowers, else the samples."""
+    both = residual_across(df, gains)
+    better = both.groupBy("ch").agg((F.sum(F.abs("y")) < F.sum(F.abs("x"))).alias("used"))
+    return both.join(F.broadcast(better), "ch").select("ch", "t", F.when(F.col("used"), F.col("y")).otherwise(F.col("x")).alias("y"), "used")  # one row a channel
+
+
+def channel_table(df: DataFrame, unit="uV", rate=250.0, keys=("ch",)) -> DataFrame:
+    """Rows of a BIDS channels table: name, type, units, sampling_frequency, and how many samples 16 bits would clamp."""
+    y = scalar.clamp16("x")
+    of = df.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.count_if(y != F.col("x")).alias("clamped"), F.min(y).alias("low"), F.max(y).alias("high"))
+    return of.select(*[F.col(k).alias("name" if k == "ch" else k) for k in keys], F.lit("EEG").alias("type"), F.lit(unit).alias("units"), F.lit(float(rate)).alias("sampling_frequency"), "n_samples", "clamped", "low", "high")

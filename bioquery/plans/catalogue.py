@@ -22,10 +22,14 @@ def query(sql=None):
 
 
 def queries():
+    from bioquery.plans import containers  # noqa: F401  adds its own
+
     return dict(_SPARK)
 
 
 def oracle_sql():
+    from bioquery.plans import containers  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -379,22 +383,6 @@ def wht_level(spark, sf):
     return signal.wht32(blocks, keys=("vec_id", "block")).withColumn("y", F.round("y", 4))
 
 
-@query()
-def bfp_pack(spark, sf):
-    """Scale, mantissas and largest error of 16-bit block floating point; checked against numpy in the tests."""
-
-    def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            packed = [kernels.bfp_quantize(v) for v in pdf["embedding"]]
-            pdf["scale"], pdf["mant"] = [float(s) for s, _ in packed], [m for _, m in packed]
-            pdf["error"] = [float(np.abs(kernels.bfp_dequantize(s, m) - np.asarray(v)).max()) for (s, m), v in zip(packed, pdf["embedding"], strict=True)]
-            yield pdf[["vec_id", "scale", "mant", "error"]]
-
-    return _t(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, scale double, mant array<long>, error double")
-
-
 @query(f"""WITH {S} SELECT a.ch, a.t, a.x - ((r.x * 30000) >> 16) AS y FROM s a JOIN s r ON r.t = a.t AND r.ch = 'click' WHERE a.ch <> 'click'
   UNION ALL SELECT a.ch, a.t, a.x FROM s a WHERE a.ch = 'click' OR NOT EXISTS (SELECT 1 FROM s r WHERE r.t = a.t AND r.ch = 'click')""")
 def cross_channel_residual(spark, sf):
@@ -517,27 +505,6 @@ def _log(spark, sf):
     return _t(spark, sf, "conversations").select(F.col("conv_id").alias("log"), F.col("turn").alias("line"), F.col("text").alias("msg"))
 
 
-@query()
-def hash_chain_verify(spark, sf):
-    """First broken line of every log, where one message in seven logs was changed; checked in the tests."""
-
-    def chain(pdf):
-        import hashlib
-
-        pdf = pdf.sort_values("line")
-        prev, rows = "0" * 32, []
-        for m in pdf["msg"]:
-            sha = hashlib.sha256(f"{prev}|{m}".encode()).hexdigest()[:32]
-            rows.append((prev, sha))
-            prev = sha
-        pdf["prev"], pdf["sha"] = [p for p, _ in rows], [s for _, s in rows]
-        return pdf
-
-    made = _log(spark, sf).where("msg is not null").groupBy("log").applyInPandas(chain, "log long, line long, msg string, prev string, sha string")
-    tampered = made.withColumn("msg", F.when((F.col("log") % 7 == 0) & (F.col("line") == 1), F.lit("changed")).otherwise(F.col("msg")))
-    return records.verify_chain(tampered, ("log",)).where("broken").groupBy("log").agg(F.min("line").alias("first_broken"))
-
-
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def duplicate_ids(spark, sf):
     return records.duplicates(_t(spark, sf, "orders"), "o_custkey")
