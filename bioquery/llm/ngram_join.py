@@ -20,9 +20,12 @@ there are fewer).  Two documents link when
    most others: rows grow with the members, not with their pairs.  Every member
    meets the hub that it shares most tiles with first; what this links is
    contracted, and of the other pairs those between components follow.
-4. Where a tile holds several components beside its hub after that, its members
-   are dealt into parts of about ``block`` rows.  Pairs of parts are compared, but pairs within
-   one component are not, nor is the largest component sent to meet itself.
+4. Where a tile still holds several components beside its hub, its members are
+   compared within that tile; of tiles with the same members one is taken.  Tiles
+   of more than SPLIT_ABOVE members are dealt anew first: each member by those
+   sections, beside the one that the tile stands for, that a linked pair must
+   share by the same argument.  What is still larger than ``block`` is dealt into
+   parts, and pairs of parts are compared, but the largest component isn't sent to meet itself.
    So no link between components is lost, and none is searched for where it
    cannot change the result.
 
@@ -44,6 +47,7 @@ from bioquery.llm import common, words
 
 BITS = 1024  # of a bitmap signature
 KEYS_AT_ONCE = 1 << 18  # keys that a task packs together, about 15 MB with the arrays of sorting
+SPLIT_ABOVE = 4096  # members of a tile that are dealt anew by a second section
 MOST_CLASHES = 100_000  # names that several classes share: three are expected among 1e10 classes
 KEYS_A_BUCKET = 1 << 20  # keys that meet in one group, if every n-gram gave one; fewer do
 
@@ -110,20 +114,21 @@ def _sets(column, width):
             yield first + i, grams
 
 
-def _signatures(grams, threshold):
-    """Keys of the tiles of a set: in each band, those of one section more than may differ."""
-    keys = []
+def _sections(grams, threshold):
+    """(most differences, key of each section, which sections hold n-grams) of each band that a set is in."""
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words.mix(grams))])
     for band, sections, allowed in threshold.bands(len(grams)):
         step = ((1 << 64) - 1) // sections
         cuts = np.searchsorted(grams, (np.arange(1, sections, dtype=np.uint64) * np.uint64(step)))
         cuts = np.concatenate([[0], cuts, [len(grams)]])
         tag = words.mix(np.arange(sections, dtype=np.uint64) + np.uint64(band << 40))
-        key = words.mix(tag ^ (total[cuts[1:]] - total[cuts[:-1]]))
-        filled = np.flatnonzero(cuts[1:] > cuts[:-1])
-        # two sets that both have too few filled sections agree on one of all, maybe an empty one
-        keys.append(key[filled[: allowed + 1]] if len(filled) > allowed else key)
-    return np.concatenate(keys)
+        yield allowed, words.mix(tag ^ (total[cuts[1:]] - total[cuts[:-1]])), np.flatnonzero(cuts[1:] > cuts[:-1])
+
+
+def _signatures(grams, threshold):
+    """Keys of the tiles of a set: in each band, those of one section more than may differ."""
+    # two sets that both have too few filled sections agree on one of all, maybe an empty one
+    return np.concatenate([key[filled[: allowed + 1]] if len(filled) > allowed else key for allowed, key, filled in _sections(grams, threshold)])
 
 
 def _planes(values):
@@ -254,50 +259,130 @@ def _pair_rows(threshold):
     return run
 
 
+def _cells(batches):
+    """The rows of each cell (tile, i, j), from batches that are sorted by these first three columns."""
+    import pyarrow as pa
+
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            key = tuple(keys[:, a].tolist())
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _column(table, name):
+    return table.column(name).to_numpy()
+
+
+def _in_batches(rows, names, types, most=20_000):
+    """Record batches of lists of columns."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held]), type=t) for k, t in enumerate(types)], names=names)
+
+    for columns in rows:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= most:
+            yield batch()
+            held, size = [], 0
+    if size:
+        yield batch()
+
+
 def _possible(threshold):
-    """Members of one pair of blocks that the bound allows to link with a member of another component there."""
-
-    def run(pdf):
-        pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-        label, size = pdf["component"].to_numpy(), pdf["n"].to_numpy()
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
-        keep = np.zeros(len(pdf), dtype=bool)
-        last = np.searchsorted(size, size * threshold.denominator // threshold.numerator, side="right")
-        for i in range(len(pdf)):
-            others = np.arange(i + 1, last[i])
-            others = others[label[others] != label[i]]
-            others = others[_bound(bits[i], bits[others], size[i], size[others]) >= threshold.needed(size[i], size[others])]
-            keep[others] = True
-            keep[i] |= len(others) > 0
-        return pdf.loc[keep, ["node", "component", "area", "i", "j"]]
+    """Members of cells (sorted by size) that the bound allows to link with a member of another component there."""
+
+    def kept(batches):
+        for key, cell in _cells(batches):
+            label, size = _column(cell, "component"), _column(cell, "n")
+            if (label == label[0]).all():
+                continue
+            bits = np.frombuffer(b"".join(cell.column("bits").to_pylist()), dtype=np.uint64).reshape(len(label), -1)
+            keep = np.zeros(len(label), dtype=bool)
+            last = np.searchsorted(size, size * threshold.denominator // threshold.numerator, side="right")
+            for i in range(len(label)):
+                others = np.arange(i + 1, last[i])
+                others = others[label[others] != label[i]]
+                if len(others):
+                    others = others[_bound(bits[i], bits[others], size[i], size[others]) >= threshold.needed(size[i], size[others])]
+                    keep[others] = True
+                    keep[i] |= len(others) > 0
+            n = int(keep.sum())
+            if n:
+                yield [*(np.full(n, k) for k in key), _column(cell, "node")[keep], label[keep]]
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield from _in_batches(kept(batches), ["tile", "i", "j", "node", "component"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
 
     return run
 
 
-def _block_pairs(threshold):
-    """Links between components in one pair of blocks; each found link joins two components for good."""
+def _cell_links(threshold):
+    """Links between components in one cell (sorted by size); each found link joins two components for good."""
+
+    def found(batches):
+        for _, cell in _cells(batches):
+            grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for chunk in cell.column("grams").chunks for x in chunk]
+            node, label, size = _column(cell, "node"), _column(cell, "component").copy(), _column(cell, "n")
+            bits = np.stack([_bitmap(g) for g in grams])
+            links = []
+            for i in range(len(node)):
+                others = np.arange(i + 1, np.searchsorted(size, size[i] * threshold.denominator // threshold.numerator, side="right"))
+                others = others[label[others] != label[i]]
+                if len(others):
+                    others = others[_bound(bits[i], bits[others], size[i], size[others]) >= threshold.needed(size[i], size[others])]
+                for j in others:
+                    if label[j] != label[i] and _linked(grams[i], grams[j], bits[i], bits[j], threshold):
+                        links.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+            if links:
+                yield [np.array(x) for x in zip(*links, strict=True)]
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-        grams = [np.frombuffer(x, dtype=np.uint64) for x in pdf["grams"]]
-        node, label, size = pdf["node"].to_numpy(), pdf["component"].to_numpy().copy(), pdf["n"].to_numpy()
-        bits = np.stack([_bitmap(g) for g in grams])
-        found = []
-        for i in range(len(node)):
-            last = np.searchsorted(size, size[i] * threshold.denominator // threshold.numerator, side="right")
-            others = np.arange(i + 1, last)
-            others = others[label[others] != label[i]]
-            if not len(others):
-                continue
-            needed = -(-threshold.numerator * (size[i] + size[others]) // (threshold.numerator + threshold.denominator))
-            others = others[_bound(bits[i], bits[others], size[i], size[others]) >= needed]
-            for j in others:
-                if label[j] != label[i] and _linked(grams[i], grams[j], bits[i], bits[j], threshold):
-                    found.append((node[i], node[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        yield from _in_batches(found(batches), ["a", "b"], [pa.int64(), pa.int64()])
+
+    return run
+
+
+def _dealt_anew(threshold):
+    """(tile, node, component) of rows (tile, node, component, grams): tiles by a second section of each member's band."""
+
+    def keys(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tile = np.array([batch.column(0)[at].as_py()], dtype=np.int64).view(np.uint64)[0]
+                grams = np.frombuffer(batch.column(3)[at].as_buffer(), dtype=np.uint64)
+                for allowed, key, filled in _sections(grams, threshold):
+                    place = np.flatnonzero(key == tile)
+                    if not len(place):
+                        continue
+                    filled = filled[filled != place[0]]
+                    second = key[filled[: allowed + 1]] if len(filled) > allowed else np.delete(key, place[0])
+                    new = words.mix(second ^ words.mix(np.full(len(second), tile)))
+                    yield [new.view(np.int64), np.full(len(new), batch.column(1)[at].as_py()), np.full(len(new), batch.column(2)[at].as_py())]
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield from _in_batches(keys(batches), ["tile", "node", "component"], [pa.int64()] * 3)
 
     return run
 
@@ -337,7 +422,7 @@ def _class_of(grams, clashes=frozenset()):
     return other if name in clashes else name
 
 
-def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_column="doc_id", text_column="text") -> DataFrame:
+def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, split_above=SPLIT_ABOVE, id_column="doc_id", text_column="text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
     spark = docs.sparkSession
     store = common.Store(spark)
@@ -405,9 +490,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=100, id_
     store.sweep()
     # hubs have met all others of their tiles
     known = shared.where("node <> hub").join(labels, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
-    split = known.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("anchor")).where("low < high")
-    split = store.put(split.select("tile", "anchor"), "split")
-    more = _blocks(spark, store, known, split, sets, threshold, block)
+    more = _within_tiles(store, known, sets, threshold, block, split_above)
     if more is not None:
         labels = store.put(common.components(spark, links.unionByName(more), store), "labels")
 
@@ -443,29 +526,40 @@ def _hubs(shared):
     return shared.join(weight, "node").groupBy("tile").agg(F.max(F.struct("weight", "node")).alias("top")).select("tile", F.col("top.node").alias("hub"))
 
 
-def _blocks(spark, store, known, split, sets, threshold, block):
-    """Links between the components of tiles (tile, anchor: a member) that hold several; None if there are no such tiles.
+def _several(members):
+    """(tile, n) of the tiles of members (tile, node, component) that hold several components; one of those with the same members."""
+    print_ = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"print{k}") for k in (1, 2)]  # 128 bits tell sets of members apart
+    tiles = members.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *print_).where("low < high")
+    return tiles.groupBy("n", "print1", "print2").agg(F.min("tile").alias("tile")).select("tile", "n")
 
-    Tiles that share members form an area.  Its largest component is not
-    compared with itself: the other members are dealt into parts, its own
-    members into others, and only pairs of parts with others in them meet.
-    """
+
+def _within_tiles(store, known, sets, threshold, block, split_above):
+    """Links between the components of members (tile, node, component); None if no tile holds several."""
+    known = store.put(known, "known")
+    split = store.put(_several(known), "split")
     if split.isEmpty():
         return None
-    groups = store.put(known.join(split, "tile").select("node", "anchor", "component").distinct(), "groups")
-    area = common.components(spark, groups.select(F.col("node").alias("a"), F.col("anchor").alias("b")), store).withColumnRenamed("component", "area")
-    placed = store.put(groups.select("node", "component").distinct().join(area, "node"), "areas")
-    count = placed.groupBy("area", "component").agg(F.count("*").alias("n"))
-    largest = count.groupBy("area").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    parts = largest.select("area", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / F.lit(block)).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(block)).cast("int").alias("outer"))
-    dealt = placed.join(store.put(parts, "parts"), "area").withColumn("inside", F.col("component") == F.col("top"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    members = known.join(split, "tile")
+    large = members.where(F.col("n") > split_above)
+    if not large.isEmpty():
+        anew = large.select("tile", "node", "component").join(sets.select("node", "grams").hint("merge"), "node").select("tile", "node", "component", "grams")
+        anew = store.put(anew.mapInArrow(_dealt_anew(threshold), "tile long, node long, component long").distinct(), "anew")
+        members = members.where(F.col("n") <= split_above).unionByName(anew.join(store.put(_several(anew), "split"), "tile"))
     # parts of others are 0 .. outer - 1; those of the largest component are -1, -2 ..
+    count = members.groupBy("tile", "component").agg(F.count("*").alias("m"))
+    largest = count.groupBy("tile").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    parts = largest.where(F.col("all") > block).select("tile", F.col("top.component").alias("top"), F.ceil(F.col("top.m") / F.lit(block)).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("top.m")) / F.lit(block)).cast("int").alias("outer"))
+    small = members.where(F.col("n") <= block).select("tile", "node", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    dealt = members.where(F.col("n") > block).join(store.put(parts, "parts"), "tile").withColumn("inside", F.col("component") == F.col("top"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     outer, inner = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(-1), -F.col("inner"))
-    cells = dealt.select("node", "component", "area", F.when(F.col("inside"), -1 - F.col("part")).otherwise(F.col("part")).alias("part"), F.explode(F.when(F.col("inside"), outer).otherwise(F.concat(inner, outer))).alias("other"))
-    cells = cells.select("node", "component", "area", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    bounds = cells.join(sets.select("node", "n", "bits").hint("merge"), "node").groupBy("area", "i", "j")
-    possible = store.put(bounds.applyInPandas(_possible(threshold), "node long, component long, area long, i int, j int"), "possible")
+    cells = dealt.select("tile", "node", "component", F.when(F.col("inside"), -1 - F.col("part")).otherwise(F.col("part")).alias("part"), F.explode(F.when(F.col("inside"), outer).otherwise(F.concat(inner, outer))).alias("other"))
+    cells = small.unionByName(cells.select("tile", "node", "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+
+    def by_cell(rows, column):
+        rows = rows.join(sets.select("node", "n", column).hint("merge"), "node").select("tile", "i", "j", "node", "component", "n", column)
+        return rows.repartition(common.partitions(sets.sparkSession), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
+
+    possible = store.put(by_cell(cells, "bits").mapInArrow(_possible(threshold), "tile long, i int, j int, node long, component long"), "possible")
     store.sweep()
-    rows = possible.join(sets.select("node", "n", "grams").hint("merge"), "node")
-    return store.put(rows.groupBy("area", "i", "j").applyInPandas(_block_pairs(threshold), "a long, b long"), "more")
+    return store.put(by_cell(possible, "grams").mapInArrow(_cell_links(threshold), "a long, b long"), "more")
