@@ -1,13 +1,14 @@
-"""Katz backoff scoring of documents with Good-Turing discounts over word pairs.
-
-Tokens are the words of a text (lower-cased A-Z) and one end; the context of the
-first token is a start mark.  P(w | h) is the discounted relative frequency of
-the pair (h, w) if training texts have it; otherwise alpha(h) * P(w), where P(w)
-is the discounted relative frequency of w, and what that leaves is the one share
-of all words that training texts don't have.  Counts up to CUTOFF are discounted
-by Good-Turing, larger ones give up EPSILON of one count, so every context has
-mass to back off with; alpha(h) normalises exactly: the probabilities of all
-words and of the unknown share sum to 1 after every context.
+"""Katz backoff scoring of documents with Good-Turing discounts, up to n-grams of ``order`` words.
+
+Tokens are the words of a text (lower-cased A-Z) and one end; contexts that
+reach before the text hold a start mark.  P(w | h) is the discounted relative
+frequency of (h, w) if training texts have it; otherwise alpha(h) * P(w | h'),
+where h' is h without its first word, and so on down to P(w), the discounted
+relative frequency of w; what that leaves is the one share of all words that
+training texts don't have.  Counts up to CUTOFF are discounted by Good-Turing,
+larger ones give up EPSILON of one count, so every context has mass to back off
+with; alpha(h) normalises exactly: the probabilities of all words and of the
+unknown share sum to 1 after every context.
 
 Counts are kept in tables that are partitioned by key, and never gathered whole:
 
@@ -17,29 +18,37 @@ Counts are kept in tables that are partitioned by key, and never gathered whole:
    word table.  The partition sums the training counts of all blocks and answers
    each request with counts in the order asked.  A word that is in every text is
    one entry of each block.
-3. The same for distinct word pairs, partitioned by their first word; pairs of
-   first words with more than a partition's share of all tokens are dealt by
-   both words.  The answers hold pair counts, and what alpha needs of contexts
-   that some unseen pair of the block backs off from.
-4. Each block scores its tokens by these answers, by recursion from pair to word.
-
-Words are told apart by 64-bit hashes, those that follow one word by 56 bits.  Edges: null and empty texts are one end;
-null ids hash as empty text and are returned null; rows that repeat are texts of
-their own; without training texts the count tables are empty and every token has
-probability 1 as unknown.  Extra columns are not looked at.
+3. The same for its distinct pairs, then triples and so on to ``order``,
+   partitioned by their contexts; those of contexts with more than a partition's
+   share of all tokens are dealt by context and word.  The answers hold counts,
+   and what alpha needs of contexts that some unseen n-gram of the block backs
+   off from.  Each round needs the probabilities of the one before, so a token's
+   probability is built by recursion from the word up.
+4. The last round scores the tokens.
+
+A table has as many partitions as its keys need at KEYS_A_PART each, the
+session's at least, so what a task holds doesn't grow with the corpus.
+
+Contexts are told apart by 64-bit hashes, words that follow one by 56 bits.
+Edges: null and empty texts are one end; null ids hash as empty text and are
+returned null; rows that repeat are texts of their own, each counted and each
+returned; without training texts the count tables are empty and every token has
+probability 1 as unknown; an empty table stays empty.  A text is never cut, so a
+very long one makes a block of its own size.  Extra columns are not looked at.
 """
 
 import io
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bioquery.llm import common, words
 
 CUTOFF, EPSILON = 5, 0.001
 BLOCK_BYTES = 12 << 20
-HOT_LEAST = 1 / 2000  # share of all tokens below which a first word is never dealt by both words
+KEYS_A_PART = 2 << 20  # words or n-grams that one task answers for, about 160 MB with the arrays of sorting
+ORDER = 2  # see the README for what a third word costs
 START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -132,8 +141,9 @@ def _blocks(batches):
         train = np.repeat(out == 0, lengths)
         counts = np.bincount(index[train], minlength=len(vocabulary))
         known = ids != np.iinfo(np.int64).min
-        row = [number, _pack(ids=ids, known=known, held=out, lengths=_tight(lengths), index=_tight(index)), _pack(vocabulary=vocabulary, counts=_tight(counts))]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], type=pa.binary()), pa.array([row[2]], type=pa.binary())], names=["block", "texts", "words"])
+        row = [number, _pack(ids=ids, known=known, held=out, lengths=_tight(lengths), index=_tight(index)), _pack(vocabulary=vocabulary, counts=_tight(counts)), len(vocabulary), len(index)]
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, types, strict=True)], names=["block", "texts", "words", "n_words", "n_tokens"])
 
     for batch in batches:
         ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
@@ -211,46 +221,102 @@ def _count_words(batches):
     yield from _answers(rows)
 
 
+class Level:
+    """The distinct n-grams of a block: their place in the text, context, last word and the n-gram without the first word."""
+
+    def __init__(self, place, hashes, count=None, probability=None, ctx=None, last=None, lower=None):
+        self.place, self.hashes, self.count, self.probability = place, hashes, count, probability
+        self.ctx, self.last, self.lower = ctx, last, lower
+
+
 class Block:
-    """A block with the global counts of its vocabulary, and its distinct pairs."""
+    """A block with its n-grams up to those whose counts it knows, and the next ones."""
 
     def __init__(self, texts, own, unigrams, parts):
         data = _load(texts)
         self.ids, self.known, self.held = data["ids"], data["known"], data["held"]
-        self.lengths, self.index = data["lengths"].astype(np.int64), data["index"].astype(np.int64)
+        self.lengths, self.index = data["lengths"].astype(np.int64), data["index"].astype(np.int32)
         own = _load(own)
-        self.vocabulary, counts = own["vocabulary"], own["counts"].astype(np.int64)
-        self.counts = counts
-        n = len(self.vocabulary)
+        self.own = {k: own[k] for k in own.files}
+        self.vocabulary, self.unigrams, self.parts = own["vocabulary"], unigrams, parts
         self.starts = np.cumsum(self.lengths) - self.lengths
-        before = np.empty_like(self.index)
-        before[1:] = self.index[:-1]
-        before[self.starts] = n  # the start mark
-        pairs, self.place = _distinct(before * n + self.index)
-        self.first, self.second = pairs // n, pairs % n
+        count = own["counts"].astype(np.int64)
         end = np.searchsorted(self.vocabulary, words.END)
-        self.context = np.append(counts, counts[end] if n else 0)  # how often each was a context in training
-        self.first_hash = np.append(self.vocabulary, START)[self.first]
-        hot = self.context[self.first] > max(unigrams.tokens / parts, unigrams.tokens * HOT_LEAST)
-        both = words.mix(self.first_hash ^ words.mix(self.vocabulary[self.second]))
-        self.hot, self.part = hot, _slices(np.where(hot, both, words.mix(self.first_hash)), parts).astype(np.int64)
+        self.texts = count[end] if len(count) else 0  # in training: how often a start is the context
+        self.words = count
+        self.before = None
+        self.level = Level(self.index, np.append(self.vocabulary, START), np.append(count, self.texts), unigrams.probability(count))
+        self.n = 1
+        while f"counts{self.n + 1}" in own.files:
+            self.up()
+            self.level.count = np.append(own[f"counts{self.n}"].astype(np.int64), self.texts)
+            self.level.probability = own[f"probability{self.n}"]
+        self.up()
+
+    def up(self):
+        """Goes to the n-grams of one word more."""
+        self.before, low = self.level, self.level
+        self.n += 1
+        size = len(self.vocabulary)
+        previous = np.empty(len(self.index), dtype=np.int64)
+        previous[1:] = low.place[:-1]
+        previous[self.starts] = len(low.hashes) - 1  # the start mark
+        grams, place = _distinct(previous * size + self.index)
+        ctx, last = grams // max(1, size), (grams % max(1, size)).astype(np.int32)
+        lower = np.empty(len(grams), dtype=np.int64)
+        lower[place] = low.place
+        hashes = words.mix(low.hashes[ctx] ^ words.mix(self.vocabulary[last] + np.uint64(self.n)))
+        start = words.mix(np.array([START + np.uint64(self.n)]))
+        self.level = Level(place.astype(np.int32), np.append(hashes, start), ctx=ctx, last=last, lower=lower)
+        context = low.count[ctx]
+        hot = context > self.unigrams.tokens / self.parts
+        name = low.hashes[ctx]
+        both = words.mix(name ^ words.mix(self.vocabulary[last]))
+        self.hot, self.part = hot, _slices(np.where(hot, both, words.mix(name)), self.parts).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
 
-    def asks(self, parts):
-        """(part, request) for each partition; pairs in the order of first and second words."""
+    def asks(self):
+        """(part, request) for each partition; n-grams in the order of contexts and last words."""
+        level, low = self.level, self.before
         train = np.repeat(self.held == 0, self.lengths)
-        seen = np.bincount(self.place[train], minlength=len(self.first))
-        cut = np.searchsorted(self.part[self.order], np.arange(parts + 1))
+        seen = np.bincount(level.place[train], minlength=len(level.ctx))
+        cut = np.searchsorted(self.part[self.order], np.arange(self.parts + 1))
         for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 at = self.order[a:b]
-                first = self.first[at]
-                head = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+                ctx = level.ctx[at]
+                head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+                # what the last word has without the first one: for pairs its count, which is shorter
+                share = {"single": _tight(self.words[level.last[at]])} if self.n == 2 else {"share": low.probability[level.lower[at]]}
                 yield p, {
-                    "first": self.first_hash[at[head]], "hot": self.hot[at[head]], "run": _tight(np.diff(np.append(head, b - a))),
-                    "second": _top_bytes(self.vocabulary[self.second[at]]), "seen": _tight(seen[at]), "single": _tight(self.counts[self.second[at]]),
+                    "first": low.hashes[ctx[head]], "hot": self.hot[at[head]], "run": _tight(np.diff(np.append(head, b - a))),
+                    "second": _top_bytes(self.vocabulary[level.last[at]]), "seen": _tight(seen[at]), **share,
                 }
 
+    def answered(self, answers, discounts, hot, hot_facts):
+        """Counts and probabilities of the n-grams, by the answers of the partitions in their order."""
+        level, low = self.level, self.before
+        answers = [_load(a) for a in answers]
+        count = np.empty(len(level.ctx), dtype=np.int64)
+        if answers:
+            count[self.order] = np.concatenate([a["counts"].astype(np.int64) for a in answers])
+        context = low.count[level.ctx]
+        value = low.probability[level.lower]
+        seen = count > 0
+        value[seen] = discounts.mass(count[seen]) / context[seen]
+        back = ~seen & (context > 0)
+        if back.any():
+            name, place = _distinct(low.hashes[level.ctx[back]])
+            known = np.concatenate([hot, *(a["first"] for a in answers)])
+            fact = np.concatenate([hot_facts, *(a["facts"] for a in answers)])
+            by = np.argsort(known, kind="stable")
+            facts = fact[by[np.searchsorted(known[by], name)]]
+            of = np.zeros(len(name))
+            of[place] = context[back]
+            left = discounts.left(facts[:, :CUTOFF].T, facts[:, CUTOFF]) / of
+            value[back] *= (left / (1 - facts[:, CUTOFF + 1]))[place]
+        return count, value
+
 
 def _by_block(make):
     """Runs make(block id, texts, words, answers) for each block of a partition."""
@@ -278,7 +344,7 @@ def _join_counts(answers):
     return np.concatenate([_load(a)["counts"].astype(np.int64) for a in answers]) if answers else np.zeros(0, dtype=np.int64)
 
 
-def _count_pairs(unigrams):
+def _count_grams(unigrams):
     def run(batches):
         parts, blocks, asks = _gathered(batches)
         if not parts:
@@ -288,130 +354,161 @@ def _count_pairs(unigrams):
         heads = [len(a["first"]) for a in asks]
         first, hot = take("first", np.uint64), take("hot", bool)
         second = _from_top_bytes(take("second", np.uint8))
-        first_all, seen, single = np.repeat(first, runs), take("seen", np.int64), take("single", np.int64)
-        order = np.lexsort((second, first_all))
-        f, s = first_all[order], second[order]
+        seen = take("seen", np.int64)
+        order = np.lexsort((second, np.repeat(first, runs)))
+        f, s = np.repeat(first, runs)[order], second[order]
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))
-        pair = np.empty(len(order), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
+        gram = np.empty(len(order), dtype=np.int64)
+        gram[order] = np.cumsum(new) - 1
         head = np.flatnonzero(new)
         total = np.add.reduceat(seen[order], head)
-        context, of_pair = _distinct(f[head])  # of_pair: the context of each distinct pair
+        context, of_gram = _distinct(f[head])  # of_gram: the context of each distinct n-gram
+        del f, s, new, second
         n = len(context)
-        share = np.where(total > 0, unigrams.probability(single[order][head]), 0.0)
-        facts = np.stack([*(np.bincount(of_pair[total == r], minlength=n) for r in range(1, CUTOFF + 1)), np.bincount(of_pair[total > CUTOFF], minlength=n), np.bincount(of_pair, share, n)], axis=1)
+        share = unigrams.probability(take("single", np.int64)[order][head]) if "single" in asks[0].files else take("share", np.float64)[order][head]
+        share = np.where(total > 0, share, 0.0)
+        facts = np.stack([*(np.bincount(of_gram[total == r], minlength=n) for r in range(1, CUTOFF + 1)), np.bincount(of_gram[total > CUTOFF], minlength=n), np.bincount(of_gram, share, n)], axis=1)
         of_count, above = _of_count(total)
         is_hot = np.zeros(n, dtype=bool)
         is_hot[np.searchsorted(context, first[hot])] = True
-        rows = [(-1, parts[0], _pack(stats=np.array([*of_count, above], dtype=np.int64), hot=context[is_hot], facts=facts[is_hot]))]
-        unseen = total[pair] == 0
-        at_pair, at_head = np.cumsum([0, *size]), np.cumsum([0, *heads])
+        rows = [(-1, parts[0], _pack(stats=np.array([*of_count, above], dtype=np.int64)))]
+        if is_hot.any():
+            rows.append((-2, parts[0], _pack(hot=context[is_hot], facts=facts[is_hot])))
+        unseen = total[gram] == 0
+        at_gram, at_head = np.cumsum([0, *size]), np.cumsum([0, *heads])
         for i, (part, block) in enumerate(zip(parts, blocks, strict=True)):
-            mine = slice(at_pair[i], at_pair[i + 1])
+            mine = slice(at_gram[i], at_gram[i + 1])
             own = first[at_head[i] : at_head[i + 1]]
             run = np.repeat(np.arange(heads[i]), runs[at_head[i] : at_head[i + 1]])
             wanted = np.flatnonzero(np.bincount(run[unseen[mine]], minlength=heads[i]) > 0)
             wanted = wanted[~hot[at_head[i] : at_head[i + 1]][wanted]]
-            rows.append((block, part, _pack(counts=_tight(total[pair[mine]]), first=own[wanted], facts=facts[np.searchsorted(context, own[wanted])])))
+            rows.append((block, part, _pack(counts=_tight(total[gram[mine]]), first=own[wanted], facts=facts[np.searchsorted(context, own[wanted])])))
         yield from _answers(rows)
 
     return run
 
 
-def score(docs: DataFrame, held_out, id_column="doc_id", text_column="text") -> DataFrame:
+def _hot_facts(answers):
+    """(hashes, facts) of the contexts that lie in many partitions, summed; there are fewer of them than partitions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for blob in batch.column(0):
+                data = _load(blob.as_py())
+                columns = [pa.array(data["hot"].view(np.int64)), *[pa.array(data["facts"][:, k]) for k in range(CUTOFF + 2)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["context", *[f"f{k}" for k in range(CUTOFF + 2)]])
+
+    names = [f"f{k}" for k in range(CUTOFF + 2)]
+    rows = answers.where("block = -2").select("answer").mapInArrow(run, "context long, " + ", ".join(f"{f} double" for f in names))
+    found = rows.groupBy("context").agg(*[F.sum(f).alias(f) for f in names]).collect()
+    hot = np.array([r["context"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], np.array([[r[f] for f in names] for r in found], dtype=float).reshape(-1, CUTOFF + 2)[order]
+
+
+def _stats(answers, size):
+    """The sum of what the partitions say of all their keys: one row of a few numbers each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            total = sum((_load(b.as_py())["stats"] for b in batch.column(0)), np.zeros(size, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in total], names=[f"s{k}" for k in range(size)])
+
+    names = [f"s{k}" for k in range(size)]
+    rows = answers.where("block = -1").select("answer").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return [v or 0 for v in rows.agg(*[F.sum(n) for n in names]).first()]
+
+
+def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_column="text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: boolean column; those documents are scored but not learnt from.
+    order: words of the longest n-grams, 2 at least.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     store = common.Store(spark)
-    parts = common.partitions(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_column).alias("text"))
-    blocks = store.put(texts.mapInArrow(_blocks, "block long, texts binary, words binary"), "blocks", "none")
-    n_blocks = max(1, blocks.count())
-
-    asked = blocks.select("block", "words").mapInArrow(_ask_words(parts), "part int, block long, ask binary").repartitionById(parts, F.col("part"))
-    of_words = store.put(asked.mapInArrow(_count_words, "block long, part int, answer binary"), "words", "none")
-    facts = [_load(bytes(r["answer"]))["stats"] for r in of_words.where("block = -1").select("answer").collect()]
-    total = np.sum(facts, axis=0) if facts else np.zeros(CUTOFF + 4, dtype=np.int64)
-    unigrams = Unigrams(total[0], total[1], total[2:-1], total[-1])
+    blocks = store.put(texts.mapInArrow(_blocks, "block long, texts binary, words binary, n_words long, n_tokens long"), "blocks", "none")
+    n_blocks, n_words, n_tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_blocks = max(1, n_blocks)
+    least = common.partitions(spark)
+    parts, gram_parts = (max(least, -(-n // KEYS_A_PART)) for n in (n_words, n_tokens))
+    # one block a task: blocks are numbered by the partitions that made them, of which there are as many as tasks
+    made = blocks.groupBy(F.shiftright("block", 20).alias("maker")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("maker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    makers = store.put(made.select("maker", before.cast("int").alias("first")), "makers")
 
     def gathered(blocks, answers, make, schema):
         empty = F.lit(None).cast("binary")
         rows = blocks.select("block", F.lit(0).alias("turn"), F.lit(-1).alias("part"), "texts", "words", empty.alias("answer"))
         rows = rows.unionByName(answers.where("block >= 0").select("block", F.lit(1).alias("turn"), "part", empty.alias("texts"), empty.alias("words"), "answer"))
-        # partition numbers run from 0, and few partitions have more than one block
-        place = F.pmod(F.shiftright("block", 20) + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)) * 7919, F.lit(n_blocks)).cast("int")
+        rows = rows.join(F.broadcast(makers), F.shiftright("block", 20) == F.col("maker"))  # a row for each task that made blocks
+        place = F.col("first") + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
         rows = rows.repartitionById(n_blocks, place).sortWithinPartitions("block", "turn", "part")
         return rows.select("block", "turn", "texts", "words", "answer").mapInArrow(_by_block(make), schema)
 
-    def know(number, texts, own, answers):
+    asked = blocks.select("block", "words").mapInArrow(_ask_words(parts), "part int, block long, ask binary").repartitionById(parts, F.col("part"))
+    answers = store.put(asked.mapInArrow(_count_words, "block long, part int, answer binary"), "words", "none")
+    total = _stats(answers, CUTOFF + 4)
+    unigrams = Unigrams(total[0], total[1], total[2:-1], total[-1])
+
+    def kept(number, texts, own):
         import pyarrow as pa
 
-        words_of = _pack(vocabulary=_load(own)["vocabulary"], counts=_tight(_join_counts(answers)))
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([texts], type=pa.binary()), pa.array([words_of], type=pa.binary())], names=["block", "texts", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([texts], type=pa.binary()), pa.array([own], type=pa.binary())], names=["block", "texts", "words"])
+
+    def know_words(number, texts, own, answers):
+        yield kept(number, texts, _pack(vocabulary=_load(own)["vocabulary"], counts=_tight(_join_counts(answers))))
 
-    # blocks with the answers are written again, so that neither the first ones nor that shuffle stay beside the pairs
-    known = store.put(gathered(blocks, of_words, know, "block long, texts binary, words binary"), "known", "none")
+    # blocks with the answers are written again, so that neither the first ones nor that shuffle stay beside the next
+    known = store.put(gathered(blocks, answers, know_words, "block long, texts binary, words binary"), "known", "none")
     del asked
-    store.drop(blocks, of_words)
+    store.drop(blocks, answers)
 
-    def ask_pairs(batches):
+    def ask(batches):
         import pyarrow as pa
 
         for batch in batches:
             for number, texts, own in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for p, ask in Block(texts.as_py(), own.as_py(), unigrams, parts).asks(parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([number.as_py()]), pa.array([_pack(**ask)], type=pa.binary())], names=["part", "block", "ask"])
-
-    asked = known.mapInArrow(ask_pairs, "part int, block long, ask binary").repartitionById(parts, F.col("part"))
-    of_pairs = store.put(asked.mapInArrow(_count_pairs(unigrams), "block long, part int, answer binary"), "pairs", "none")
-    facts = [_load(bytes(r["answer"])) for r in of_pairs.where("block = -1").select("answer").collect()]
-    total = np.sum([f["stats"] for f in facts], axis=0) if facts else np.zeros(CUTOFF + 2, dtype=np.int64)
-    del asked
-    store.sweep()
-    discounts = Discounts(total[:-1])
-    # contexts whose pairs lie in many partitions: at most 1 / HOT_LEAST
-    hot, index = _distinct(np.concatenate([f["hot"] for f in facts])) if facts else (np.zeros(0, dtype=np.uint64), None)
-    hot_facts = np.zeros((len(hot), CUTOFF + 2))
-    if len(hot):
-        np.add.at(hot_facts, index, np.concatenate([f["facts"] for f in facts]))
-
-    def alpha(facts, context):
-        left = discounts.left(facts[:, :CUTOFF].T, facts[:, CUTOFF]) / context
-        return left / (1 - facts[:, CUTOFF + 1])
-
-    def evaluate(number, texts, own, of_pair):
+                for p, request in Block(texts.as_py(), own.as_py(), unigrams, gram_parts).asks():
+                    yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([number.as_py()]), pa.array([_pack(**request)], type=pa.binary())], names=["part", "block", "ask"])
+
+    for n in range(2, order + 1):
+        asked = known.mapInArrow(ask, "part int, block long, ask binary").repartitionById(gram_parts, F.col("part"))
+        answers = store.put(asked.mapInArrow(_count_grams(unigrams), "block long, part int, answer binary"), f"grams{n}", "none")
+        total = _stats(answers, CUTOFF + 2)
+        hot, hot_facts = _hot_facts(answers)
+        del asked
+        store.sweep()
+        discounts = Discounts(total[:-1])
+
+        def know(number, texts, own, answers, discounts=discounts, hot=hot, hot_facts=hot_facts, n=n):
+            block = Block(texts, own, unigrams, gram_parts)
+            count, probability = block.answered(answers, discounts, hot, hot_facts)
+            yield kept(number, texts, _pack(**block.own, **{f"counts{n}": _tight(count), f"probability{n}": probability}))
+
+        if n < order:
+            before_, known = known, store.put(gathered(known, answers, know, "block long, texts binary, words binary"), "known", "none")
+            store.drop(before_, answers)
+
+    def evaluate(number, texts, own, answers):
         import pyarrow as pa
 
-        block = Block(texts, own, unigrams, parts)
-        counts = block.counts
-        answers = [_load(a) for a in of_pair]
-        pair = np.empty(len(block.first), dtype=np.int64)
-        pair[block.order] = np.concatenate([a["counts"].astype(np.int64) for a in answers])
-        single = unigrams.probability(counts)
-        context = block.context[block.first]
-        value = np.zeros(len(pair))
-        seen = pair > 0
-        value[seen] = np.log10(discounts.mass(pair[seen]) / context[seen])
-        back = ~seen
-        value[back] = np.log10(single[block.second[back]])
-        back &= context > 0
-        if back.any():
-            name, place = _distinct(block.first_hash[back])
-            known = np.concatenate([hot, *(a["first"] for a in answers)])
-            fact = np.concatenate([hot_facts, *(a["facts"] for a in answers)])
-            by = np.argsort(known, kind="stable")
-            row = by[np.searchsorted(known[by], name)]
-            count = np.zeros(len(name))
-            count[place] = context[back]
-            value[back] += np.log10(alpha(fact[row], count))[place]
+        block = Block(texts, own, unigrams, gram_parts)
+        _, probability = block.answered(answers, discounts, hot, hot_facts)
+        value = np.log10(probability)
         sums = lambda x: np.add.reduceat(x, block.starts)
         columns = [
-            pa.array(block.ids, mask=~block.known), pa.array(block.held == 1), pa.array(block.lengths), pa.array(sums((counts > 0)[block.index].astype(np.int64))),
-            pa.array(np.full(len(block.ids), unigrams.tokens)), pa.array(sums(unigrams.base(counts)[block.index])), pa.array(sums(value[block.place])),
+            pa.array(block.ids, mask=~block.known), pa.array(block.held == 1), pa.array(block.lengths), pa.array(sums((block.words > 0)[block.index].astype(np.int64))),
+            pa.array(np.full(len(block.ids), unigrams.tokens)), pa.array(sums(unigrams.base(block.words)[block.index])), pa.array(sums(value[block.level.place])),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return gathered(known, of_pairs, evaluate, schema)
+    return gathered(known, answers, evaluate, schema)

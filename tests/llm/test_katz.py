@@ -8,57 +8,75 @@ from pyspark.sql import functions as F
 from bioquery.llm import katz
 
 
-def plain(rows, held):
-    """The same model with dictionaries; also checks that every context sums to 1."""
+def plain(rows, held, order=2):
+    """The same model with dictionaries and recursion; also checks that every context sums to 1."""
     low = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "").split()
     texts = {i: [*low(t), "</s>"] for i, t in rows}
-    one, two, context = Counter(), Counter(), Counter()
-    for i, t in texts.items():
-        if not held(i):
-            one.update(t)
-            for a, b in zip(["<s>", *t], t, strict=False):
-                two[a, b] += 1
-                context[a] += 1
+    grams = lambda t, n: zip(*[(["<s>"] * (n - 1) + t)[k:] for k in range(n)], strict=False)
+    counts = [Counter(g for i, t in texts.items() if not held(i) for g in grams(t, n)) for n in range(1, order + 1)]
+    context = [Counter() for _ in counts]
+    for c, of in zip(counts, context, strict=True):
+        for g, v in c.items():
+            of[g[:-1]] += v
     of = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz.CUTOFF + 2)]
-    d1, d2 = katz.Discounts(of(one)), katz.Discounts(of(two))
-    mass = lambda d, c: float(d.mass(c))
-    n = sum(one.values())
-    unknown = 1 - sum(mass(d1, c) for c in one.values()) / n if n else 1.0
-    p1 = lambda w: mass(d1, one[w]) / n if one[w] else unknown
-    after = defaultdict(dict)
-    for (a, b), c in two.items():
-        after[a][b] = mass(d2, c) / context[a]
-    alpha = {a: (1 - sum(ps.values())) / (1 - sum(p1(w) for w in ps)) for a, ps in after.items()}
+    discounts = [katz.Discounts(of(c)) for c in counts]
+    mass = lambda n, g: float(discounts[n].mass(counts[n][g]))
+    total = sum(counts[0].values())
+    unknown = 1 - sum(mass(0, g) for g in counts[0]) / total if total else 1.0
+    after = [defaultdict(list) for _ in counts]
+    for n, c in enumerate(counts):
+        for g in c:
+            after[n][g[:-1]].append(g[-1])
+    alphas = {}
 
-    def p2(a, w):
-        return after[a][w] if w in after.get(a, ()) else alpha.get(a, 1.0) * p1(w)
+    def p(h, w):
+        n = len(h)
+        if counts[n][(*h, w)]:
+            return mass(n, (*h, w)) / context[n][h]
+        if not n:
+            return unknown
+        if not context[n][h]:
+            return p(h[1:], w)
+        if h not in alphas:
+            seen = after[n][h]
+            alphas[h] = (1 - sum(p(h, x) for x in seen)) / (1 - sum(p(h[1:], x) for x in seen))
+        return alphas[h] * p(h[1:], w)
 
-    for a in list(after)[:30]:
-        assert sum(p2(a, w) for w in one) + p2(a, object()) == pytest.approx(1, abs=1e-9)
+    one = counts[0]
+    for h in list(after[-1])[:20]:
+        assert sum(p(h, w) for (w,) in one) + p(h, object()) == pytest.approx(1, abs=1e-9)
     out = {}
     for i, t in texts.items():
-        base = sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t)
-        out[i] = (held(i), len(t), sum(one[w] > 0 for w in t), n, base, sum(math.log10(p2(a, w)) for a, w in zip(["<s>", *t], t, strict=False)))
+        base = sum(math.log10((one[w,] + 1) / (total + len(one) + 1)) for w in t)
+        out[i] = (held(i), len(t), sum(one[w,] > 0 for w in t), total, base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order)))
     return out
 
 
-@pytest.mark.parametrize("hot", [1 / 2000, 0.0])
-def test_equals_dictionaries(spark, monkeypatch, hot):
-    monkeypatch.setattr(katz, "HOT_LEAST", hot)
+@pytest.mark.parametrize(("order", "keys"), [(2, 2 << 20), (2, 100), (3, 150), (4, 2 << 20)])
+def test_equals_dictionaries(spark, monkeypatch, order, keys):
+    """Few keys a part make many parts, so that contexts of many words are dealt by both."""
+    monkeypatch.setattr(katz, "KEYS_A_PART", keys)
     monkeypatch.setattr(katz, "BLOCK_BYTES", 4000)
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(300)], k=r.randrange(60)))) for i in range(300)]
     rows += [(1000, None), (1001, ""), (1002, "never Seen W1 w1"), (1003, "É é")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as held").repartition(3)
-    got = {x.doc_id: x for x in katz.score(df, F.col("doc_id") % 4 == 3).collect()}
-    want = plain(rows, lambda i: i % 4 == 3)
+    got = {x.doc_id: x for x in katz.score(df, F.col("doc_id") % 4 == 3, order=order).collect()}
+    want = plain(rows, lambda i: i % 4 == 3, order)
     assert got.keys() == want.keys()
     for i, (held, n, known, total, base, value) in want.items():
         x = got[i]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held, n, known, total)
         assert x.base_score == pytest.approx(base, rel=1e-9)
-        assert x.score == pytest.approx(value, rel=1e-9, abs=1e-9)
+        assert x.score == pytest.approx(value, rel=1e-8, abs=1e-8)
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    long = "one two three " * 700_000
+    rows = [(1, "one two"), (1, "one two"), (2, long)]
+    got = sorted((x.doc_id, x.n_tokens, x.train_tokens) for x in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), order=3).collect())
+    assert got == [(1, 3, 2_100_007), (1, 3, 2_100_007), (2, 2_100_001, 2_100_007)]
 
 
 def test_edges(spark):
