@@ -31,7 +31,9 @@ there are fewer).  Two documents link when
 
 A comparison bounds the intersection from above by the bits of two hashed bitmap
 signatures first, and intersects the sorted arrays exactly if the bound allows.
-Sets are sent only to where the bound leaves them a partner.
+A bitmap has at least twice as many bits as its set has n-grams, so that the
+bound is close at any size; the larger of two is folded.  Sets are made again
+from the texts only of those whom the bound leaves a partner.
 
 Edges: null and empty texts, and texts without words, have size 0 and link with
 nothing; rows that repeat an id are one document with one of their texts' sets
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from bioquery.llm import common, words
 
-BITS = 1024  # of a bitmap signature
+LEAST_BITS, MOST_BITS = 512, 1 << 24  # of a bitmap signature: the power of two from twice the set's size on
 KEYS_AT_ONCE = 1 << 18  # keys that a task packs together, about 15 MB with the arrays of sorting
 SPLIT_ABOVE = 4096  # members of a tile that are dealt anew by a second section
 MOST_CLASHES = 100_000  # names that several classes share: three are expected among 1e10 classes
@@ -201,11 +203,22 @@ def _shared_members(pdf):
 
 
 def _bitmap(grams):
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(grams >> np.uint64(40)).astype(np.int64) % BITS] = True
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(grams) - 1).bit_length()))
+    bits = np.zeros(size, dtype=bool)
+    bits[(grams >> np.uint64(40)).astype(np.int64) & size - 1] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def _alike(bitmaps):
+    """Bitmaps folded to the size of the smallest, as rows: bits that fall together are one."""
+    size = min(map(len, bitmaps))
+    return np.stack([b if len(b) == size else np.bitwise_or.reduce(b.reshape(-1, size), axis=0) for b in bitmaps])
+
+
+def _read_bitmaps(column):
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for chunk in getattr(column, "chunks", [column]) for x in chunk]
+
+
 def _overlap(a, b):
     """Size of the intersection of two sorted arrays of distinct values."""
     if len(a) > len(b):
@@ -237,9 +250,15 @@ def _bounded_rows(threshold):
             if not batch.num_rows:
                 continue
             size_a, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            bits_a, bits_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            bits_a, bits_b = (_read_bitmaps(batch.column(i)) for i in (4, 5))
             needed = threshold.needed(size_a, size_b)
-            keep = (np.minimum(size_a, size_b) >= needed) & (_bound(bits_a, bits_b, size_a, size_b) >= needed)
+            keep = np.minimum(size_a, size_b) >= needed
+            width = np.array([min(len(a), len(b)) for a, b in zip(bits_a, bits_b, strict=True)])
+            for w in np.unique(width[keep]):
+                at = np.flatnonzero(keep & (width == w))
+                for part in np.array_split(at, max(1, len(at) * int(w) >> 20)):
+                    both = _alike([bits_a[k] for k in part] + [bits_b[k] for k in part])
+                    keep[part] = _bound(both[: len(part)], both[len(part) :], size_a[part], size_b[part]) >= needed[part]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
@@ -311,7 +330,7 @@ def _possible(threshold):
             label, size = _column(cell, "component"), _column(cell, "n")
             if (label == label[0]).all():
                 continue
-            bits = np.frombuffer(b"".join(cell.column("bits").to_pylist()), dtype=np.uint64).reshape(len(label), -1)
+            bits = _alike(_read_bitmaps(cell.column("bits")))
             keep = np.zeros(len(label), dtype=bool)
             last = np.searchsorted(size, size * threshold.denominator // threshold.numerator, side="right")
             for i in range(len(label)):
@@ -340,7 +359,7 @@ def _cell_links(threshold):
         for _, cell in _cells(batches):
             grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for chunk in cell.column("grams").chunks for x in chunk]
             node, label, size = _column(cell, "node"), _column(cell, "component").copy(), _column(cell, "n")
-            bits = np.stack([_bitmap(g) for g in grams])
+            bits = _alike([_bitmap(g) for g in grams])
             links = []
             for i in range(len(node)):
                 others = np.arange(i + 1, np.searchsorted(size, size[i] * threshold.denominator // threshold.numerator, side="right"))
@@ -388,7 +407,7 @@ def _dealt_anew(threshold):
 
 
 def _grams_of(rows, width, clashes):
-    """(node, n, bits, grams) of rows (node, text) whose text has that class: the set as bytes of sorted uint64."""
+    """(node, grams) of rows (node, text) whose text has that class: the set as bytes of sorted uint64."""
 
     def run(batches):
         import pyarrow as pa
@@ -401,11 +420,11 @@ def _grams_of(rows, width, clashes):
                     node = nodes[at + row]
                     if node not in seen and _class_of(grams, clashes) == node:
                         seen.add(node)
-                        out.append((node, len(grams), _bitmap(grams).tobytes(), grams.tobytes()))
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["node", "n", "bits", "grams"])
+                        out.append((node, grams.tobytes()))
+                columns = zip(*out, strict=True) if out else [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["node", "grams"])
 
-    return rows.mapInArrow(run, "node long, n long, bits binary, grams binary")
+    return rows.mapInArrow(run, "node long, grams binary")
 
 
 def _digest(grams):
@@ -433,14 +452,16 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
         import pyarrow as pa
 
         for batch in batches:
-            sets = [(len(g), *_digest(g)) for _, g in _sets(batch.column(1), width)]
-            columns = [pa.array([s[k] for s in sets], type=pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "node", "other"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [(len(g), *_digest(g), _bitmap(g).tobytes()) for _, g in _sets(part.column(1), width)]
+                columns = [pa.array([s[k] for s in sets], type=pa.int64() if k < 3 else pa.binary()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "node", "other", "bits"])
 
-    digests = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long, other long"), "sizes")
+    digests = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long, other long, bits binary"), "sizes")
     clashes, sizes = frozenset(), digests
     while True:  # runs once unless names clash
-        classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high")), "classes")
+        classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
         found = [r["node"] for r in classes.where("low <> high").select("node").limit(MOST_CLASHES + 1).collect()]
         if not found:
             break
@@ -448,7 +469,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
             raise ValueError("too many classes share a name")
         clashes = clashes | set(found)
         renamed = digests.join(F.broadcast(spark.createDataFrame([(c,) for c in clashes], "clash long")), F.col("node") == F.col("clash"), "left")  # at most MOST_CLASHES numbers
-        sizes = renamed.select("doc_id", "n", F.when(F.col("clash").isNotNull(), F.col("other")).otherwise(F.col("node")).alias("node"), F.when(F.col("clash").isNotNull(), F.col("node")).otherwise(F.col("other")).alias("other"))
+        sizes = renamed.select("doc_id", "n", "bits", F.when(F.col("clash").isNotNull(), F.col("other")).otherwise(F.col("node")).alias("node"), F.when(F.col("clash").isNotNull(), F.col("node")).otherwise(F.col("other")).alias("other"))
 
     grams_in_all = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * common.partitions(spark), grams_in_all // KEYS_A_BUCKET + 1)
@@ -474,23 +495,32 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
     shared = store.put(shared.join(hubs, "tile"), "tiles")
     store.sweep()
     pairs = store.put(shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n")), "pairs")
-    involved = pairs.select(F.explode(F.array("node", "hub")).alias("node")).distinct().join(classes, "node").select("first", "node")
-    sets = store.put(_grams_of(texts.join(involved.hint("merge"), texts["doc_id"] == involved["first"]).select("node", "text"), width, clashes), "sets")
+    bitmaps = classes.select("node", "n", "bits")
+    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    close = pairs.groupBy(*ends).agg(F.max("n").alias("met"))
+    close = store.put(_both_ends(close, bitmaps, "n", "bits").mapInArrow(_bounded_rows(threshold), "a long, b long").join(close, ["a", "b"]), "close")
+
+    def sets_of(nodes, name):
+        """The sets of some classes, from the texts of their first documents."""
+        wanted = nodes.join(classes, "node").select("first", "node")
+        return store.put(_grams_of(texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["first"]).select("node", "text"), width, clashes), name)
+
+    sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets")
     store.sweep()
 
     # each with the hub that it meets most first; then those that are still apart
-    ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
-    most = pairs.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select("node", "top.hub")
-    links = _compare(store, most.select(*ends).distinct(), sets, threshold)
+    either = close.select("a", "b", "met", F.explode(F.array("a", "b")).alias("node"))
+    most = either.groupBy("node").agg(F.max(F.struct("met", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
+    links = _compare(store, most, sets, threshold)
     labels = store.put(common.components(spark, links, store), "labels")
     of = {c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")}
-    apart = pairs.select(*ends).distinct().join(of["a"], "a", "left").join(of["b"], "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+    apart = close.select("a", "b").join(of["a"], "a", "left").join(of["b"], "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
     links = links.unionByName(_compare(store, apart.select("a", "b"), sets, threshold))
     labels = store.put(common.components(spark, links, store), "labels")
     store.sweep()
     # hubs have met all others of their tiles
     known = shared.where("node <> hub").join(labels, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
-    more = _within_tiles(store, known, sets, threshold, block, split_above)
+    more = _within_tiles(store, known, bitmaps, sets_of, threshold, block, split_above)
     if more is not None:
         labels = store.put(common.components(spark, links.unionByName(more), store), "labels")
 
@@ -503,17 +533,17 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
     return full.unionByName(bare).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
-def _compare(store, pairs, sets, threshold):
-    """The linked of pairs (a, b): by the bound of the bitmaps, and of what that leaves by the sets."""
+def _both_ends(rows, sides, *columns):
+    """Rows (a, b) with the columns of both nodes."""
+    for end in ("a", "b"):
+        side = sides.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        rows = rows.join(side.hint("merge"), end)
+    return rows.select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
 
-    def both(rows, *columns):
-        for end in ("a", "b"):
-            side = sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-            rows = rows.join(side.hint("merge"), end)
-        return rows.select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
 
-    close = store.put(both(pairs, "n", "bits").mapInArrow(_bounded_rows(threshold), "a long, b long"), "close")
-    return store.put(both(close, "grams").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
+def _compare(store, pairs, sets, threshold):
+    """The linked of pairs (a, b), by the sets."""
+    return store.put(_both_ends(pairs, sets, "grams").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
 
 
 def _hubs(shared):
@@ -533,7 +563,7 @@ def _several(members):
     return tiles.groupBy("n", "print1", "print2").agg(F.min("tile").alias("tile")).select("tile", "n")
 
 
-def _within_tiles(store, known, sets, threshold, block, split_above):
+def _within_tiles(store, known, bitmaps, sets_of, threshold, block, split_above):
     """Links between the components of members (tile, node, component); None if no tile holds several."""
     known = store.put(known, "known")
     split = store.put(_several(known), "split")
@@ -542,7 +572,8 @@ def _within_tiles(store, known, sets, threshold, block, split_above):
     members = known.join(split, "tile")
     large = members.where(F.col("n") > split_above)
     if not large.isEmpty():
-        anew = large.select("tile", "node", "component").join(sets.select("node", "grams").hint("merge"), "node").select("tile", "node", "component", "grams")
+        sets = sets_of(large.select("node").distinct(), "large")
+        anew = large.select("tile", "node", "component").join(sets.hint("merge"), "node").select("tile", "node", "component", "grams")
         anew = store.put(anew.mapInArrow(_dealt_anew(threshold), "tile long, node long, component long").distinct(), "anew")
         members = members.where(F.col("n") <= split_above).unionByName(anew.join(store.put(_several(anew), "split"), "tile"))
     # parts of others are 0 .. outer - 1; those of the largest component are -1, -2 ..
@@ -556,10 +587,13 @@ def _within_tiles(store, known, sets, threshold, block, split_above):
     cells = dealt.select("tile", "node", "component", F.when(F.col("inside"), -1 - F.col("part")).otherwise(F.col("part")).alias("part"), F.explode(F.when(F.col("inside"), outer).otherwise(F.concat(inner, outer))).alias("other"))
     cells = small.unionByName(cells.select("tile", "node", "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
 
-    def by_cell(rows, column):
-        rows = rows.join(sets.select("node", "n", column).hint("merge"), "node").select("tile", "i", "j", "node", "component", "n", column)
-        return rows.repartition(common.partitions(sets.sparkSession), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
+    def by_cell(rows, sides, *columns):
+        rows = rows.join(sides.select("node", *columns).hint("merge"), "node")
+        return rows.repartition(common.partitions(store.spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
 
-    possible = store.put(by_cell(cells, "bits").mapInArrow(_possible(threshold), "tile long, i int, j int, node long, component long"), "possible")
+    keys = ["tile", "i", "j", "node", "component", "n"]
+    possible = store.put(by_cell(cells, bitmaps, "n", "bits").select(*keys, "bits").mapInArrow(_possible(threshold), "tile long, i int, j int, node long, component long"), "possible")
+    sets = sets_of(possible.select("node").distinct(), "sets")
     store.sweep()
-    return store.put(by_cell(possible, "grams").mapInArrow(_cell_links(threshold), "a long, b long"), "more")
+    rows = possible.join(bitmaps.select("node", "n"), "node")
+    return store.put(by_cell(rows, sets, "grams").select(*keys, "grams").mapInArrow(_cell_links(threshold), "a long, b long"), "more")
