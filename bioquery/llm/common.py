@@ -1,8 +1,9 @@
 """What the operators of this subpackage share: stored tables, components, folds."""
 
 import atexit
+import functools
 import gc
-import os
+import re
 import tempfile
 import time
 import uuid
@@ -32,19 +33,27 @@ def fresh(columns, name: str) -> str:
     return name
 
 
+@functools.cache
+def _temporary():
+    return tempfile.mkdtemp(prefix="bioquery-")
+
+
 class Store:
     """Tables in the shared checkpoint folder; they cut lineage and survive lost executors.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests, a laptop) a temporary one is made.  What is not dropped is
-    deleted when the driver process ends.
+    The folder is ``spark.checkpoint.dir`` of the session; where that is unset and
+    Spark runs in this process (tests, a laptop), one temporary folder is made; on
+    a cluster that is an error.  What is not dropped is deleted when the driver
+    process ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = os.environ.setdefault("BIOQUERY_SCRATCH", tempfile.mkdtemp(prefix="bioquery-"))
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = _temporary()
         self.root = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._delete, self.root)
@@ -116,7 +125,8 @@ def components(spark: SparkSession, edges: DataFrame, store: Store) -> DataFrame
     """Connected components of undirected edges (a long, b long): rows (node, component).
 
     component is the smallest node; nodes without edges have no row.  Each round
-    deals the edges by their larger end, EDGES_A_TASK to a task, and replaces
+    deals the edges by their larger end (one of more than EDGES_A_TASK edges to
+    several tasks), EDGES_A_TASK to a task, and replaces
     those of a task by stars (member, root) found by union-find.  A member with
     several roots then keeps the smallest and links the others to it, so what is
     connected stays connected and every edge points at a smaller node.  When each
@@ -127,7 +137,12 @@ def components(spark: SparkSession, edges: DataFrame, store: Store) -> DataFrame
     pairs = store.put(pairs.distinct(), "edges")
     while True:
         tasks = -(-pairs.count() // EDGES_A_TASK)
-        dealt = pairs.repartition(tasks, "a") if tasks > 1 else pairs.coalesce(1)
+        if tasks > 1:  # ends of more edges than a task takes are fewer than the tasks
+            hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(EDGES_A_TASK))).alias("salts")).where("salts > 1")
+            salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))
+            dealt = pairs.join(F.broadcast(hot), "a", "left").withColumn("salt", salt).repartition(tasks, "a", "salt").select("a", "b")
+        else:
+            dealt = pairs.coalesce(1)
         stars = store.put(dealt.mapInArrow(_stars_of_partition, "a long, b long"), "stars")
         if tasks <= 1:
             flat = stars

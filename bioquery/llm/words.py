@@ -78,6 +78,30 @@ def lower(data):
     return np.frombuffer(data.tobytes().translate(_LOWER), dtype=np.uint8)
 
 
+def pieces(data, lead):
+    """Yields (start, end, words) of parts of one text of about CHUNK_BYTES, cut beside words.
+
+    A part begins with the last words of the one before, lead at most; words says how many.
+    """
+    end, n = 0, len(data)
+    while end < n or not n:
+        start, stop = end, min(n, end + CHUNK_BYTES)
+        while stop < n and _IS_WORD[data[stop - 1]] and _IS_WORD[data[stop]]:  # not inside a word
+            gap = np.flatnonzero(~_IS_WORD[data[stop : stop + 4096]])
+            stop = stop + int(gap[0]) if len(gap) else min(n, stop + 4096)
+        first, before = start, 0
+        if start and lead:
+            low = max(0, start - CHUNK_BYTES)
+            opens, _, _ = word_bounds(data[low:start], np.array([0, start - low]))
+            opens = opens[1:] if low and len(opens) else opens  # the first may be a part of a word
+            before = min(lead, len(opens))
+            first = low + int(opens[-before]) if before else start
+        yield first, stop, before
+        end = stop
+        if not n:
+            return
+
+
 def word_bounds(data, offsets):
     """(starts, ends, row) of the words; words never cross the border of two texts."""
     is_word = _IS_WORD[data]

@@ -1,8 +1,14 @@
 """A training-data pipeline over documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.  ``run`` applies them in order, each on the
-table that the one before has written.
+return the columns of documents, whatever they are.  ``run`` applies them in
+order, each on the table that the one before has written.
+
+Edges: rows with a null or empty text pass the classifier with the share of good
+labels, are never copies or linked, and are sampled like others of their cell;
+rows that repeat an id and a text are one document for line dedup and the n-gram
+join and stay together; rows without an id are kept by both; an empty table stays
+empty; very long texts are read whole by every stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession

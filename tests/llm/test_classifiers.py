@@ -1,7 +1,12 @@
+import random
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from bioquery.llm import common, learning, queries, quality, toxicity
+from bioquery.llm import common, learning, queries, quality, toxicity, words
 
 SF = "/root/testdata/sf0.1"  # about 4,000 labelled rows; with the 400 of sf0.01 the area under the curve of toxicity is 0.80
 
@@ -31,3 +36,138 @@ def test_isotonic_never_falls():
     p = learning.Isotonic(x, (r.random(500) < 1 / (1 + np.exp(-x))).astype(int))(np.linspace(-3, 3, 100))
     assert (np.diff(p) >= 0).all()
     assert 0 < p[0] < 0.3 < 0.7 < p[-1] < 1
+
+
+def plain_terms(text):
+    """Terms of a text word by word, as quality counts them."""
+    raw = [w for w in re.split(rb"[\x20\x09-\x0D]+", text.encode()) if w]
+    low = [w.translate(words._LOWER) for w in raw]
+    hashes = words.word_hashes(*words.string_bytes(pa.array([text])))[0].tolist()
+    out, before = Counter(), 0
+    for i, w in enumerate(raw):
+        letters, digits = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in w), sum(48 <= c <= 57 for c in w)
+        capitals, close = sum(65 <= c <= 90 for c in w), w[-1] in b".,;:"
+        symbols = len(w) - letters - digits - close
+        shape = min(len(w), 15) // 4
+        for bit in (65 <= w[0] <= 90, capitals > 1 and capitals == letters, digits > 0, letters == 0, symbols > 0, symbols > 2, close):
+            shape = shape * 2 + bit
+        same = next((back for back in range(1, quality.LEAD + 1) if i >= back and low[i - back] == low[i]), 0)
+        out[hashes[i] % quality.WORDS] += 1
+        out[quality.WORDS + int(words.mix(np.uint64(before * 4096 + shape)) % np.uint64(quality.SHAPES))] += 1
+        out[quality.WORDS + quality.SHAPES + same * 7] += 1
+        before = shape + 1
+    return out
+
+
+def plain_quality(train, scored, neighbours=15, sharpness=12.0):
+    """Votes by dense matrices: a full singular value decomposition and all cosines at once."""
+    def matrix(texts):
+        x = np.zeros((len(texts), quality.DIMENSIONS))
+        for i, t in enumerate(texts):
+            for k, n in plain_terms(t).items():
+                x[i, k] = n
+        return np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    x, y = matrix([t for t, _ in train]), np.array([label for _, label in train], dtype=float)
+    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 1
+    _, _, basis = np.linalg.svd(x * idf, full_matrices=False)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    known = unit(x * idf @ basis[: quality.RANK].T)
+
+    def vote(cosine):
+        near = np.argsort(-cosine)[:neighbours]
+        weight = np.exp(sharpness * (cosine[near] - 1))
+        return (weight * y[near]).sum() / weight.sum()
+
+    calibration = learning.Isotonic([vote(np.where(np.arange(len(y)) == i, -2, known @ v)) for i, v in enumerate(known)], y)
+    return calibration(np.array([vote(known @ v) for v in unit(matrix(scored) * idf @ basis[: quality.RANK].T)]))
+
+
+def corpus(seed, n):
+    r = random.Random(seed)
+    good, bad = [f"g{k}x" for k in range(40)], [f"B{k}!!" for k in range(40)]
+    return [(" ".join(r.choice(good if r.random() < (0.9 if k % 2 else 0.1) else bad) for _ in range(r.randrange(5, 60))), k % 2) for k in range(n)]
+
+
+def test_quality_equals_plain_votes(monkeypatch):
+    """The same votes by dictionaries, a dense decomposition and whole cosine tables; rank below the sample's."""
+    monkeypatch.setattr(quality, "RANK", 3)
+    train, scored = corpus(1, 80), [t for t, _ in corpus(2, 30)]
+    n, codes, counts = next(quality._counted(pa.array([t for t, _ in train])))
+    for i, (text, _) in enumerate(train):
+        low, high = np.searchsorted(codes, [i * quality.DIMENSIONS, (i + 1) * quality.DIMENSIONS])
+        assert dict(zip((codes[low:high] % quality.DIMENSIONS).tolist(), counts[low:high].tolist(), strict=True)) == plain_terms(text)
+    model = quality.Model(quality.Sparse(n, codes, counts), np.array([y for _, y in train], dtype=np.float32), 15, 12.0)
+    assert model.score(pa.array(scored)) == pytest.approx(plain_quality(train, scored), abs=2e-3)
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(f"w{k % 97} w{k % 3}" for k in range(30_000))
+    whole = next(quality._counted(pa.array([text])))
+    monkeypatch.setattr(words, "CHUNK_BYTES", 1000)
+    cut = next(quality._counted(pa.array([text])))
+    assert all((a == b).all() for a, b in zip(whole[1:], cut[1:], strict=True))
+
+
+def test_keep_good_keeps_all_columns(spark):
+    docs = spark.createDataFrame([(k, t, "a", 1.0) for k, (t, _) in enumerate(corpus(3, 60))] + [(99, None, None, None)], "doc_id long, text string, score string, `__id` double")
+    labels = spark.createDataFrame([(k, y, y) for k, (_, y) in enumerate(corpus(3, 60))], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, lambda c: common.fold(c, 3) != 1)
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns
+    found = {r.doc_id for r in kept.collect()}
+    assert sum((k in found) == (k % 2 == 1) for k in range(60)) >= 57
+    assert quality.keep_good(docs.limit(0), model).count() == 0
+
+
+def plain_trees(trees, x):
+    """Walks every tree node by node."""
+    out = []
+    for row in x:
+        bins = [int((edges < v).sum()) for edges, v in zip(trees.edges, row, strict=True)]
+        total = trees.start
+        for feature, cut, value in trees.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + 1 + (bins[feature[node]] > cut[node])
+            total += value[node]
+        out.append(total)
+    return np.array(out)
+
+
+def test_trees_equal_a_plain_walk_and_split_best():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    trees = learning.Trees(rounds=12, depth=3).fit(x, y)
+    fresh = r.normal(size=(100, 4))
+    assert trees.raw(fresh) == pytest.approx(plain_trees(trees, fresh), abs=1e-9)
+    assert ((trees.raw(x) > 0) == (y == 1)).mean() > 0.95
+    # one split of one tree by trying all
+    one = learning.Trees(rounds=1, depth=1, leaf=1).fit(x, (x[:, 1] > 0).astype(float))
+    assert one.trees[0][0][0] == 1
+
+
+def test_toxicity_features_of_a_plain_count():
+    """Densities, capitals, punctuation, closeness and obfuscation counted by hand."""
+    lexicon = toxicity.Lexicon(toxicity.terms(np.frombuffer(b"idiot", dtype=np.uint8), np.array([0, 5]))[3][0][0], np.array([3.0]))
+    texts = ["You IDIOT! an id!ot", "calm words only", "", "1d10t"]
+    data, offsets = words.string_bytes(pa.array(texts))
+    x = toxicity.features(data, offsets, lexicon, toxicity.pronoun_hashes())
+    assert x[0, 0] == 1 and x[0, 1] == pytest.approx(1 / 5) and x[0, 3] == 3  # You IDIOT an id ot
+    assert x[0, 8] == 1 and x[0, 9] == pytest.approx(1 / 2)
+    assert x[0, 10] == pytest.approx(6 / 14) and x[0, 11] == pytest.approx(2 / 19) and x[0, 12] == pytest.approx(2 / 19)
+    assert x[0, 13] == pytest.approx(1 / 5)
+    assert (x[1, :10] == 0).all() and (x[2] == 0).all()
+    assert x[3, 15] == 1  # once look-alike characters are undone
+
+
+def test_scores_of_long_repeated_and_clashing_rows(spark):
+    labelled = corpus(5, 120)
+    docs = spark.createDataFrame([(k, t, 1.0, "x") for k, (t, _) in enumerate(labelled)] + [(200, "g1x g2x " * 300_000, 0.0, "y"), (201, "g1x", 0.0, "z"), (201, "g1x", 0.0, "z")], "doc_id long, text string, score double, label string")
+    labels = spark.createDataFrame([(k, y, 1 - y) for k, (_, y) in enumerate(labelled)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for module in (toxicity, quality):
+        model = module.train(docs, labels, lambda c: common.fold(c, 4) != 2)
+        rows = module.score(docs, model).collect()
+        assert len(rows) == 123 and all(0 <= r.score <= 1 for r in rows)
+        assert len({r.score for r in rows if r.doc_id == 201}) == 1

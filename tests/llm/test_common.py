@@ -49,3 +49,11 @@ def test_word_hashes_are_those_of_the_words():
     assert len(words.shingles(hashes, 3)) == len(hashes) - 2
     assert len(words.shingles(hashes[:2], 3)) == 1
     assert len(words.shingles(np.zeros(0, dtype=np.uint64), 3)) == 0
+
+
+def test_star_round_the_largest_id(spark, monkeypatch):
+    """One end of more edges than a task takes is dealt to several."""
+    monkeypatch.setattr(common, "EDGES_A_TASK", 50)
+    edges = spark.createDataFrame([(10_000, k) for k in range(1, 400)] + [(20_000, 5), (30_000, 30_001)], "a long, b long")
+    got = {r.node: r.component for r in common.components(spark, edges, common.Store(spark)).collect()}
+    assert got == {**{k: 1 for k in range(1, 400)}, 10_000: 1, 20_000: 1, 30_000: 30_000, 30_001: 30_000}

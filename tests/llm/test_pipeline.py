@@ -34,3 +34,28 @@ def test_clean_documents_pass_the_classifier(spark):
     good = [x.doc_id for x in labels if x.quality == 1]
     assert sum(i in kept for i in good) >= 0.97 * len(good)
     assert sum(x.doc_id in kept for x in labels if x.quality == 0) <= 0.1 * len(labels)
+
+
+def test_edges_of_all_stages(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names, and an empty table."""
+    from pyspark.sql import functions as F
+
+    long = "\n".join(f"Line {k} of a very long text, which has words." for k in range(40_000))
+    rows = [(1, long), (2, long), (3, None), (4, ""), (5, "short text"), (5, "short text"), (None, "without an id"), (6, "short text")]
+    docs = spark.createDataFrame([(i, t, "en" if i != 3 else None, None if i == 4 else "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __text string")
+    docs = docs.withColumns({"component": F.lit(1), "__kept": F.lit(False), "lines": F.lit("l"), "tile": F.lit(2)})
+    line = cp.delete_repeated_lines(spark, docs, SF)
+    assert line.columns == docs.columns
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in line.collect()) == sorted((str(i), len(t or "")) for i, t in rows if i != 2)
+    one = cp.one_of_each_group(spark, docs, SF)
+    assert one.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in one.collect()) == sorted(["1", "3", "4", "5", "5", "None"])
+    drawn = cp.sample_to_targets(spark, docs, SF)
+    assert drawn.columns == docs.columns and {r.doc_id for r in drawn.collect()} <= {i for i, _ in rows}
+    good = cp.reject_bad(spark, docs, SF)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} <= {i for i, _ in rows}
+    assert sorted(str(r.doc_id) for r in cp.encode(spark, docs, SF).collect()) == sorted(str(i) for i, _ in rows)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.limit(0), SF)
+        assert out.count() == 0
+        assert name == cp.STAGES[-1][0] or out.columns == docs.columns
