@@ -80,8 +80,14 @@ def lpc_adaptive(x, most=16):
 
 
 def lpc_residual(x, coefficients):
-    x = [int(v) for v in x]
     k = len(coefficients)
+    samples = np.asarray(x, dtype=np.int64)
+    if len(samples) and int(np.abs(samples).max()) * (sum(abs(int(c)) for c in coefficients) + 1) < 1 << 62:
+        total = np.zeros(len(samples), dtype=np.int64)
+        for j, c in enumerate(coefficients):
+            total[j + 1 :] += int(c) * samples[: len(samples) - j - 1]
+        return samples - np.where(np.arange(len(samples)) < k, 0, total >> LPC_SHIFT)
+    x = [int(v) for v in x]  # sums that don't fit 64 bits
     return np.array([v if i < k else v - (sum(c * x[i - 1 - j] for j, c in enumerate(coefficients)) >> LPC_SHIFT) for i, v in enumerate(x)], dtype=np.int64)
 
 
