@@ -58,6 +58,107 @@ def cnt_samples(data: bytes):
     return integers(body[: len(body) // (2 * n) * 2 * n], channels=n), labels, rate
 
 
+SAMPLES = "path string, ch int, t long, x long"
+
+
+def _batches(name, signals, chunk=1 << 18):
+    """Record batches (path, ch, t, x) of [channels][samples], chunk samples each."""
+    import pyarrow as pa
+
+    for ch, x in enumerate(signals):
+        for at in range(0, len(x), chunk):
+            part = np.ascontiguousarray(x[at : at + chunk])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.full(len(part), ch, dtype=np.int32)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["path", "ch", "t", "x"])
+
+
+def _binary(spark, path, glob):
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def brainvision_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, data, channels, rate, dtype, multiplexed, labels) of .vhdr files; data is the path of the file that has the samples."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                h = brainvision_header(bytes(content).decode("utf-8", "replace"))
+                file = h["data"].replace("$b", name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+                rows.append((name, name.rsplit("/", 1)[0] + "/" + file, h["channels"], h["rate"], h["dtype"], h["multiplexed"], h["labels"]))
+            yield pd.DataFrame(rows, columns=["path", "data", "channels", "rate", "dtype", "multiplexed", "labels"])
+
+    return _binary(spark, path, "*.[vV][hH][dD][rR]").mapInPandas(run, "path string, data string, channels int, rate double, dtype string, multiplexed boolean, labels array<string>")
+
+
+def read_brainvision(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ch, t, x) of recordings by their headers; path is the header's. A header without its data file is an error."""
+    heads = brainvision_headers(spark, path)
+    data = _binary(spark, path, "*.[eE][eE][gG]").withColumnRenamed("path", "data")
+    both = heads.join(data, "data", "left").withColumn("content", F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("no data file "), "data")).cast("binary")).otherwise(F.col("content")))
+
+    def run(batches):
+        for batch in batches:
+            for name, channels, dtype, wide, content in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                yield from _batches(name, integers(content.as_py(), dtype, channels, wide))
+
+    return both.select("path", "channels", "dtype", "multiplexed", "content").mapInArrow(run, SAMPLES)
+
+
+def read_cnt(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ch, t, x) of CNT files."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _batches(name, cnt_samples(content.as_py())[0])
+
+    return _binary(spark, path, "*.[cC][nN][tT]").mapInArrow(run, SAMPLES)
+
+
+def read_eeglab(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ch, t, x) of .fdt files, x being the bits of float32 samples; <name>.json beside a file has its channels."""
+    base = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    side = _binary(spark, path, "*.json").select(base("path").alias("base"), F.get_json_object(F.col("content").cast("string"), "$.channels").cast("int").alias("channels"))
+    both = _binary(spark, path, "*.fdt").withColumn("base", base("path")).join(side, "base", "left")
+    both = both.withColumn("channels", F.when(F.col("channels") > 0, F.col("channels")).otherwise(F.raise_error(F.concat(F.lit("no channels for "), "path")).cast("int")))
+
+    def run(batches):
+        for batch in batches:
+            for name, channels, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                yield from _batches(name, float_bits(content.as_py(), channels))
+
+    return both.select("path", "channels", "content").mapInArrow(run, SAMPLES)
+
+
+def write_raw(df: DataFrame, path: str, keys=("rec",)) -> DataFrame:
+    """(keys, n_bytes, sha256) of files path/<keys>.i32 with channel-major little-endian int32 samples (keys, ch, t, x).
+
+    A recording is one task's; values that don't fit 32 bits are an error. path
+    is a folder that all executors share.
+    """
+    keys, kinds = list(keys), dict(df.dtypes)
+
+    def run(key, pdf):
+        import hashlib
+        import os
+
+        import pandas as pd
+
+        x = pdf.sort_values(["ch", "t"])["x"].to_numpy()
+        if len(x) and max(-int(x.min()) - 1, int(x.max())) >> 31:
+            raise ValueError("samples that don't fit 32 bits")
+        data = x.astype("<i4").tobytes()
+        name = os.path.join(path, "_".join(map(str, key)) + ".i32")
+        with open(f"{name}.{os.getpid()}.tmp", "wb") as f:
+            f.write(data)
+        os.replace(f.name, name)  # whole or not at all, also when a task is run again
+        return pd.DataFrame([(*key, len(data), hashlib.sha256(data).hexdigest())])
+
+    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_bytes long, sha256 string")
+
+
 def read_described(spark: SparkSession, path: str, descriptor: str | dict, glob="*.raw") -> DataFrame:
     """(path, ch, t, x) of raw files by a descriptor: dtype, channels, multiplexed, big."""
     d = json.loads(descriptor) if isinstance(descriptor, str) else descriptor

@@ -85,3 +85,61 @@ def test_write_wide(spark, tmp_path):
     assert [x for x in lines if x.isdigit()] == ["1", "2", "3", "4"]
     files.write_wide(df, ["a", "b"], str(tmp_path / "p"), "parquet")
     assert spark.read.parquet(str(tmp_path / "p")).columns == ["t", "a", "b"]
+
+
+VHDR = """Brain Vision Data Exchange Header File Version 1.0
+[Common Infos]
+DataFile=$b.eeg
+DataFormat=BINARY
+DataOrientation=MULTIPLEXED
+NumberOfChannels=2
+SamplingInterval=4000
+[Binary Infos]
+BinaryFormat=INT_16
+[Channel Infos]
+Ch1=C3,,0.1
+Ch2=C4,,0.1
+"""
+
+
+def test_tables_of_other_formats(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    r = np.random.default_rng(2)
+    x = r.integers(-3000, 3000, (2, 50))
+    where = lambda df: {(q.path.rsplit("/", 1)[-1], q.ch, q.t): q.x for q in df.collect()}
+    want = lambda name, x: {(name, c, t): int(v) for c, row in enumerate(x) for t, v in enumerate(row)}
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "rec.vhdr").write_text(VHDR)
+    (tmp_path / "s" / "rec.eeg").write_bytes(x.T.astype("<i2").tobytes())
+    assert where(files.read_brainvision(spark, str(tmp_path))) == want("rec.vhdr", x)
+    assert files.brainvision_headers(spark, str(tmp_path)).first().labels == ["C3", "C4"]
+    (tmp_path / "s" / "lost.vhdr").write_text(VHDR)
+    with pytest.raises(PySparkException, match="no data file"):
+        files.read_brainvision(spark, str(tmp_path)).collect()
+    head = bytearray(900)
+    head[370:372], head[376:378] = (2).to_bytes(2, "little"), (250).to_bytes(2, "little")
+    (tmp_path / "a.cnt").write_bytes(bytes(head) + b"C3".ljust(75, b"\0") + b"C4".ljust(75, b"\0") + x.T.astype("<i2").tobytes())
+    assert where(files.read_cnt(spark, str(tmp_path))) == want("a.cnt", x)
+    f = r.normal(size=(3, 20)).astype("<f4")
+    (tmp_path / "b.fdt").write_bytes(f.T.tobytes())
+    (tmp_path / "b.json").write_text('{"channels": 3}')
+    assert where(files.read_eeglab(spark, str(tmp_path))) == want("b.fdt", f.view(np.uint32).astype(np.int64))
+    (tmp_path / "c.fdt").write_bytes(f.T.tobytes())
+    with pytest.raises(PySparkException, match="no channels"):
+        files.read_eeglab(spark, str(tmp_path)).collect()
+
+
+def test_raw_export(spark, tmp_path):
+    import hashlib
+
+    from pyspark.errors import PySparkException
+
+    rows = [(k, ch, t, (k + 1) * 1000 * t - 5) for k in range(2) for ch in ("b", "a") for t in range(30)]
+    df = spark.createDataFrame(rows, "rec long, ch string, t long, x long").repartition(3)
+    for r in files.write_raw(df, str(tmp_path)).collect():
+        data = (tmp_path / f"{r.rec}.i32").read_bytes()
+        assert data == b"".join(x.to_bytes(4, "little", signed=True) for k, ch, t, x in sorted(rows) if k == r.rec)
+        assert (r.n_bytes, r.sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    with pytest.raises(PySparkException, match="32 bits"):
+        files.write_raw(spark.createDataFrame([(1, "a", 0, 1 << 31)], "rec long, ch string, t long, x long"), str(tmp_path)).collect()
