@@ -93,8 +93,8 @@ def test_selection_fails_closed(spark):
 
 def test_hash_chain(spark):
     rows = {r.log: r.first_broken for r in catalogue.queries()["hash_chain_verify"](spark, SF).collect()}
-    turns = {r.conv_id for r in spark.read.parquet(f"{SF}/conversations.parquet").where("turn = 1 and text is not null").collect()}
-    assert rows == {i: 1 for i in turns if i % 7 == 0}
+    turns = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{SF}/conversations.parquet").where("text is not null").collect()}
+    assert rows == {i: 1 for i, turn in turns if turn == 1 and i % 7 == 0} | {i: 0 for i, turn in turns if turn == 0 and i % 11 == 3}
 
 
 def test_hash_chain_covers_whole_messages(spark):
