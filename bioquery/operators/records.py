@@ -139,10 +139,32 @@ def verify_archive(entries: DataFrame, keys=("archive",)) -> DataFrame:
     return entries.groupBy(*keys).agg(F.bool_and("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.sum("original_size").alias("original"), F.count("*").alias("n_files"))
 
 
-def offsets(entries: DataFrame, keys=("archive",)) -> DataFrame:
+RANGES = 64  # parts of a key's order that are summed apart
+
+
+def running_total(df: DataFrame, keys, order: str, value: str, name: str, ranges=RANGES) -> DataFrame:
+    """df with a column of the sum of value over the rows of its key that come before by order; order is unique in a key.
+
+    The order is cut into ranges at borders from a bounded sample of it, which
+    only decides how evenly they are filled: sums of ranges come first, then
+    those inside each, so one key is many tasks'.
+    """
+    step = max(1, df.count() // (32 * ranges))
+    sample = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0).select(order).distinct().limit(256 * ranges).collect() if r[0] is not None)
+    borders = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    place = functools.reduce(lambda w, at: w.when(F.col(order) >= F.lit(borders[at - 1]), at), range(len(borders), 0, -1), F)
+    dealt = df.withColumn("__range", place.otherwise(F.lit(0)) if borders else F.lit(0))
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    zero = F.lit(0).cast("long")
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), zero)
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*keys, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), zero)
+    starts = sums.select(*keys, "__range", before.alias("__before"))
+    return dealt.withColumn("__inside", inside).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
+
+
+def offsets(entries: DataFrame, keys=("archive",), ranges=RANGES) -> DataFrame:
     """Start of each payload: the sizes of those before it, by path."""
-    order = W.partitionBy(*keys).orderBy("path").rowsBetween(W.unboundedPreceding, -1)
-    return entries.withColumn("offset", F.coalesce(F.sum("compressed_size").over(order), F.lit(0).cast("long")))
+    return running_total(entries, list(keys), "path", "compressed_size", "offset", ranges)
 
 
 def append(entries: DataFrame, new: DataFrame) -> DataFrame:
@@ -225,8 +247,33 @@ def verify_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_address(nodes: DataFrame) -> DataFrame:
-    """One address of a set of nodes, whatever their order: hashes of 256 buckets of sorted ids, hashed."""
-    buckets = nodes.select("id").distinct().groupBy(F.substring("id", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ",").cast("binary"), 256).alias("h"))
+    """One address of a set of nodes, whatever their order: hashes of 4,096 buckets of sorted ids, hashed.
+
+    A bucket's ids are sorted by Spark and stream through its hash; what meets in
+    one task at the end are the buckets' hashes.
+    """
+    ids = nodes.select(F.substring("id", 1, 3).alias("b"), "id").distinct()
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, sha, done = None, None, []
+        for batch in batches:
+            for b, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != now:
+                    if sha is not None:
+                        done.append((now, sha.hexdigest()))
+                    now, sha = b, hashlib.sha256(node.encode())
+                else:
+                    sha.update(b"," + node.encode())
+        if sha is not None:
+            done.append((now, sha.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], names=["b", "h"])
+
+    buckets = ids.repartition("b").sortWithinPartitions("b", "id").mapInArrow(run, "b string, h string")
     return buckets.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",").cast("binary"), 256).alias("address"))
 
 

@@ -558,7 +558,7 @@ def node_address(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", records.node_id(F.col("o_orderkey") % 7, F.col("o_orderstatus"), parents).alias("id"))
 
 
-@query("""WITH i AS (SELECT DISTINCT sha256(o_orderkey::VARCHAR) AS id FROM orders), b AS (SELECT substr(id, 1, 2) AS b, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM i GROUP BY 1)
+@query("""WITH i AS (SELECT DISTINCT sha256(o_orderkey::VARCHAR) AS id FROM orders), b AS (SELECT substr(id, 1, 3) AS b, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM i GROUP BY 1)
   SELECT sha256(string_agg(h, ',' ORDER BY b)) AS address FROM b""")
 def graph_address(spark, sf):
     return records.graph_address(_t(spark, sf, "orders").select(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("id")))

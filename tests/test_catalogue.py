@@ -123,6 +123,15 @@ def test_every_channel_has_a_column(spark):
     assert set(catalogue.queries()["export_wide"](spark, SF).columns) == channels | {"t"}
 
 
+def test_running_totals_of_one_key(spark):
+    rows = [("a", f"p{k:04d}", k % 7) for k in range(500)] + [("b", "x", 3), ("b", "y", 4)]
+    df = spark.createDataFrame(rows, "archive string, path string, compressed_size long").repartition(5)
+    for ranges in (1, 7, 64):
+        got = {(r.archive, r.path): r.offset for r in records.offsets(df, ranges=ranges).collect()}
+        assert got == {(a, p): sum(n for b, q, n in rows if b == a and q < p) for a, p, _ in rows}
+    assert records.offsets(df.limit(0)).count() == 0
+
+
 def test_sidecar_fields(spark):
     recordings = spark.createDataFrame([("r", "s/eeg", ["sub-1", "task-a"])], "rec string, dir string, ents array<string>")
     side = spark.createDataFrame([("", [], 1, 2), ("s", ["sub-1"], None, 3), ("s/eeg", ["task-b"], 9, 9)], "dir string, ents array<string>, a int, b int")
