@@ -21,6 +21,7 @@ MAGIC = (("LML1", "packet"), ("LMA1", "archive"), ("BCS2", "container"), ("LQTP1
 #: Packet header: magic, channels, samples, levels, flags, length of the predictions, length of the payload, checksum.
 HEADER = "<4sHIBBHII"
 MOST_VOLUMES = 999
+AT_ONCE = 64  # files that a task packs before it hands them on
 
 
 def pack(files: DataFrame, level=3) -> DataFrame:
@@ -36,16 +37,19 @@ def pack(files: DataFrame, level=3) -> DataFrame:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=level)
+
+        def entry(path, content, method):
+            if content is None:
+                return path, "error", 0, b"", 0, None
+            packed = content if method == "store" else packer.compress(content)
+            how, stored = ("zstd", packed) if len(packed) < len(content) else ("store", content)
+            return path, how, len(content), stored, len(stored), hashlib.sha256(content).hexdigest()
+
+        types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
         for batch in batches:
-            for path, content, method in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if content is None:
-                    row = (path, "error", 0, b"", 0, None)
-                else:
-                    stored = content if method == "store" else packer.compress(content)
-                    how = "store" if method == "store" or len(stored) >= len(content) else "zstd"
-                    stored = content if how == "store" else stored
-                    row = (path, how, len(content), stored, len(stored), hashlib.sha256(content).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()), strict=True)], names=["path", "method", "original_size", "stored", "stored_size", "sha256"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = [entry(*row) for row in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["path", "method", "original_size", "stored", "stored_size", "sha256"])
 
     return checked.mapInArrow(run, "path string, method string, original_size long, stored binary, stored_size long, sha256 string")
 
@@ -57,16 +61,19 @@ def extract(entries: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        def file(path, method, size, stored, sha):
+            content = stored if method == "store" else None
+            if method == "zstd":
+                try:
+                    content = zstandard.ZstdDecompressor().decompress(stored, max_output_size=max(1, size))
+                except zstandard.ZstdError:
+                    content = None
+            return path, content, content is not None and len(content) == size and hashlib.sha256(content).hexdigest() == sha
+
         for batch in batches:
-            for path, method, size, stored, sha in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                content = stored if method == "store" else None
-                if method == "zstd":
-                    try:
-                        content = zstandard.ZstdDecompressor().decompress(stored, max_output_size=max(1, size))
-                    except zstandard.ZstdError:
-                        content = None
-                ok = content is not None and len(content) == size and hashlib.sha256(content).hexdigest() == sha
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], type=pa.binary()), pa.array([ok])], names=["path", "content", "ok"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = [file(*row) for row in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.bool_()), strict=True)], names=["path", "content", "ok"])
 
     return entries.select("path", "method", "original_size", "stored", "sha256").mapInArrow(run, "path string, content binary, ok boolean")
 
