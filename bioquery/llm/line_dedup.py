@@ -123,7 +123,7 @@ def runs(docs: DataFrame, min_words=MIN_WORDS, id_column="doc_id", text_column="
     spark = docs.sparkSession
     store = common.Store(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    sequences = _of_one_text(store, store.put(texts.mapInArrow(_sequences(min_words), _SCHEMA), "sequences"))
+    sequences = _of_one_text(store, store.put(texts.mapInArrow(common.lean(_sequences(min_words)), _SCHEMA), "sequences"))
     first = store.put(sequences.groupBy("same").agg(F.min("doc").alias("first")), "first")
     known = sequences.join(first, "same").withColumn("original", F.col("doc") == F.col("first"))
     known = store.put(known, "known")
@@ -177,7 +177,7 @@ def _rewrite(rows):
                 kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_deleted", pa.int64()), ("runs", pa.string())])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out, type=kind)], names=[*part.schema.names[:-2], "result"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-2], T.StructField("result", RESULT)]))
+    return rows.mapInArrow(common.lean(run), T.StructType([*rows.schema.fields[:-2], T.StructField("result", RESULT)]))
 
 
 def delete_later_copies(docs: DataFrame, min_words=MIN_WORDS, id_column="doc_id", text_column="text") -> DataFrame:

@@ -424,7 +424,7 @@ def _grams_of(rows, width, clashes):
                 columns = zip(*out, strict=True) if out else [[]] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["node", "grams"])
 
-    return rows.mapInArrow(run, "node long, grams binary")
+    return rows.mapInArrow(common.lean(run), "node long, grams binary")
 
 
 def _digest(grams):
@@ -458,7 +458,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
                 columns = [pa.array([s[k] for s in sets], type=pa.int64() if k < 3 else pa.binary()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "node", "other", "bits"])
 
-    digests = store.put(texts.mapInArrow(digest, "doc_id long, n long, node long, other long, bits binary"), "sizes")
+    digests = store.put(texts.mapInArrow(common.lean(digest), "doc_id long, n long, node long, other long, bits binary"), "sizes")
     clashes, sizes = frozenset(), digests
     while True:  # runs once unless names clash
         classes = store.put(sizes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
@@ -489,7 +489,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
         if held:
             yield _packed(np.concatenate(keys), np.concatenate(nodes), buckets)
 
-    packed = texts.select("text").mapInArrow(tiles, "bucket int, shared boolean, tiles binary, nodes binary, which binary")
+    packed = texts.select("text").mapInArrow(common.lean(tiles), "bucket int, shared boolean, tiles binary, nodes binary, which binary")
     shared = store.put(packed.groupBy("bucket").applyInPandas(lambda pdf: _shared_members(pdf), "tile long, node long").distinct(), "tiles")
     hubs = store.put(_hubs(shared), "hubs")
     shared = store.put(shared.join(hubs, "tile"), "tiles")
@@ -498,7 +498,7 @@ def join(docs: DataFrame, width=3, numerator=90, denominator=100, block=256, spl
     bitmaps = classes.select("node", "n", "bits")
     ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
     close = pairs.groupBy(*ends).agg(F.max("n").alias("met"))
-    close = store.put(_both_ends(close, bitmaps, "n", "bits").mapInArrow(_bounded_rows(threshold), "a long, b long").join(close, ["a", "b"]), "close")
+    close = store.put(_both_ends(close, bitmaps, "n", "bits").mapInArrow(common.lean(_bounded_rows(threshold)), "a long, b long").join(close, ["a", "b"]), "close")
 
     def sets_of(nodes, name):
         """The sets of some classes, from the texts of their first documents."""
@@ -543,7 +543,7 @@ def _both_ends(rows, sides, *columns):
 
 def _compare(store, pairs, sets, threshold):
     """The linked of pairs (a, b), by the sets."""
-    return store.put(_both_ends(pairs, sets, "grams").mapInArrow(_pair_rows(threshold), "a long, b long"), "links")
+    return store.put(_both_ends(pairs, sets, "grams").mapInArrow(common.lean(_pair_rows(threshold)), "a long, b long"), "links")
 
 
 def _hubs(shared):
@@ -574,7 +574,7 @@ def _within_tiles(store, known, bitmaps, sets_of, threshold, block, split_above)
     if not large.isEmpty():
         sets = sets_of(large.select("node").distinct(), "large")
         anew = large.select("tile", "node", "component").join(sets.hint("merge"), "node").select("tile", "node", "component", "grams")
-        anew = store.put(anew.mapInArrow(_dealt_anew(threshold), "tile long, node long, component long").distinct(), "anew")
+        anew = store.put(anew.mapInArrow(common.lean(_dealt_anew(threshold)), "tile long, node long, component long").distinct(), "anew")
         members = members.where(F.col("n") <= split_above).unionByName(anew.join(store.put(_several(anew), "split"), "tile"))
     # parts of others are 0 .. outer - 1; those of the largest component are -1, -2 ..
     count = members.groupBy("tile", "component").agg(F.count("*").alias("m"))
@@ -592,8 +592,8 @@ def _within_tiles(store, known, bitmaps, sets_of, threshold, block, split_above)
         return rows.repartition(common.partitions(store.spark), "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
 
     keys = ["tile", "i", "j", "node", "component", "n"]
-    possible = store.put(by_cell(cells, bitmaps, "n", "bits").select(*keys, "bits").mapInArrow(_possible(threshold), "tile long, i int, j int, node long, component long"), "possible")
+    possible = store.put(by_cell(cells, bitmaps, "n", "bits").select(*keys, "bits").mapInArrow(common.lean(_possible(threshold)), "tile long, i int, j int, node long, component long"), "possible")
     sets = sets_of(possible.select("node").distinct(), "sets")
     store.sweep()
     rows = possible.join(bitmaps.select("node", "n"), "node")
-    return store.put(by_cell(rows, sets, "grams").select(*keys, "grams").mapInArrow(_cell_links(threshold), "a long, b long"), "more")
+    return store.put(by_cell(rows, sets, "grams").select(*keys, "grams").mapInArrow(common.lean(_cell_links(threshold)), "a long, b long"), "more")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bioquery.llm import learning, words
+from bioquery.llm import common, learning, words
 
 WORDS, SHAPES, MARKS = 1 << 16, 704, 64  # buckets of words, of pairs of shapes and marks of repetition
 DIMENSIONS = WORDS + SHAPES + MARKS
@@ -195,7 +195,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, train_rows, sample=4000):
                 yield pa.RecordBatch.from_arrays([*columns, batch.column(1).slice(at, n), batch.column(2).slice(at, n)], names=["term", "n", "label", "h"])
                 at += n
 
-    rows = learning.labelled_sample(docs, labels, "quality", train_rows, sample).select("text", "label", F.xxhash64("doc_id").alias("h")).mapInArrow(counted, "term binary, n binary, label int, h long").orderBy("h", "label", "term").collect()
+    rows = learning.labelled_sample(docs, labels, "quality", train_rows, sample).select("text", "label", F.xxhash64("doc_id").alias("h")).mapInArrow(common.lean(counted), "term binary, n binary, label int, h long").orderBy("h", "label", "term").collect()
     code = [np.frombuffer(r["term"], dtype=np.uint32).astype(np.int64) + k * DIMENSIONS for k, r in enumerate(rows)]
     count = [np.frombuffer(r["n"], dtype=np.uint32).astype(np.int64) for r in rows]
     none = [np.zeros(0, dtype=np.int64)]
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, cut=0.5, id_column="doc_id", text_colum
             p = model.score(batch.column(1)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(common.lean(run), f"doc_id {id_type}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, cut=0.5, text_column="text") -> DataFrame:
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, model: Model, cut=0.5, text_column="text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column(at)) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bioquery.llm import common
+
 SPACE = "▁".encode()
 
 
@@ -258,4 +260,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_column="doc_id", text_
                     types = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]], names=names)
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(common.lean(run), schema)

@@ -57,3 +57,31 @@ def test_star_round_the_largest_id(spark, monkeypatch):
     edges = spark.createDataFrame([(10_000, k) for k in range(1, 400)] + [(20_000, 5), (30_000, 30_001)], "a long, b long")
     got = {r.node: r.component for r in common.components(spark, edges, common.Store(spark)).collect()}
     assert got == {**{k: 1 for k in range(1, 400)}, 10_000: 1, 20_000: 1, 30_000: 30_000, 30_001: 30_000}
+
+
+def test_a_task_gives_freed_memory_back(spark):
+    """100 MB freed in small pieces, below one that stays, leave the worker."""
+
+    def small_pieces(batches):
+        pieces = [bytes(1000) for _ in range(100_000)]
+        yield from batches
+        kept.append(bytes(bytearray(1000)))
+        del pieces
+
+    kept, lean = [], common.lean(small_pieces)
+
+    def measured(batches):
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for batch in batches:
+            after = []
+            for run in (small_pieces, lean):
+                assert [b.num_rows for b in run(iter([batch]))] == [1]
+                after.append(int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in after], names=["plain", "lean"])
+
+    row = spark.range(1).coalesce(1).mapInArrow(measured, "plain long, lean long").first()
+    assert row["plain"] - row["lean"] > 60
