@@ -38,6 +38,11 @@ def _temporary():
     return tempfile.mkdtemp(prefix="bioquery-")
 
 
+#: For tables of long binary values: sizes are looked at after each row, and not after 100, so that
+#: neither who writes a file nor who reads it holds more than about 4 MB of it, or one row, at a time.
+BLOBS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
 class Store:
     """Tables in the shared checkpoint folder; they cut lineage and survive lost executors.
 
@@ -58,10 +63,10 @@ class Store:
         self.count = 0
         atexit.register(self._delete, self.root)
 
-    def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_at = path
         return out

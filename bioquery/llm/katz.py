@@ -48,6 +48,7 @@ from bioquery.llm import common, words
 CUTOFF, EPSILON = 5, 0.001
 BLOCK_BYTES = 12 << 20
 KEYS_A_PART = 2 << 20  # words or n-grams that one task answers for, about 160 MB with the arrays of sorting
+BATCH_BYTES = 1 << 20  # of answers that go to Spark at once
 ORDER = 2  # see the README for what a third word costs
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -77,9 +78,13 @@ def _distinct(x):
     order = np.argsort(x)
     ordered = x[order]
     head = np.append(True, ordered[1:] != ordered[:-1]) if len(x) else np.zeros(0, dtype=bool)
-    inverse = np.empty(len(x), dtype=np.int64)
-    inverse[order] = np.cumsum(head) - 1
-    return ordered[head], inverse
+    distinct = ordered[head]
+    del ordered
+    rank = np.cumsum(head, dtype=np.int32 if len(x) < 2**31 else np.int64)
+    rank -= 1
+    inverse = np.empty_like(rank)
+    inverse[order] = rank
+    return distinct, inverse
 
 
 def _top_bytes(x):
@@ -196,8 +201,13 @@ def _gathered(batches):
 def _answers(rows):
     import pyarrow as pa
 
-    for at in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[at : at + 64], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "answer"])
+    held, size = [], 0
+    for k, row in enumerate(rows, 1):
+        held.append(row)
+        size += len(row[2])
+        if size > BATCH_BYTES or k == len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "answer"])
+            held, size = [], 0
 
 
 def _of_count(count):
@@ -212,6 +222,7 @@ def _count_words(batches):
         return
     keys, counts = np.concatenate([a["keys"] for a in asks]), np.concatenate([a["counts"].astype(np.int64) for a in asks])
     size = [len(a["keys"]) for a in asks]
+    del asks
     distinct, index = _distinct(keys)
     total = np.bincount(index, counts, len(distinct)).astype(np.int64)
     of_count, above = _of_count(total)
@@ -261,7 +272,10 @@ class Block:
         previous = np.empty(len(self.index), dtype=np.int64)
         previous[1:] = low.place[:-1]
         previous[self.starts] = len(low.hashes) - 1  # the start mark
-        grams, place = _distinct(previous * size + self.index)
+        previous *= size
+        previous += self.index
+        grams, place = _distinct(previous)
+        del previous
         ctx, last = grams // max(1, size), (grams % max(1, size)).astype(np.int32)
         lower = np.empty(len(grams), dtype=np.int64)
         lower[place] = low.place
@@ -271,8 +285,9 @@ class Block:
         context = low.count[ctx]
         hot = context > self.unigrams.tokens / self.parts
         name = low.hashes[ctx]
-        both = words.mix(name ^ words.mix(self.vocabulary[last]))
-        self.hot, self.part = hot, _slices(np.where(hot, both, words.mix(name)), self.parts).astype(np.int64)
+        key = words.mix(name)
+        key[hot] = words.mix(name[hot] ^ words.mix(self.vocabulary[last[hot]]))
+        self.hot, self.part = hot, _slices(key, self.parts).astype(np.int32)
         self.order = np.argsort(self.part, kind="stable")
 
     def asks(self):
@@ -319,23 +334,21 @@ class Block:
 
 
 def _by_block(make):
-    """Runs make(block id, texts, words, answers) for each block of a partition."""
+    """Runs make(block id, texts, words, answers by parts) for each block of a partition, which has one."""
 
     def run(batches):
-        now = None
+        texts, asked = {}, {}
         for batch in batches:
-            for block, turn, texts, own, answer in zip(*(batch.column(k) for k in range(5)), strict=True):
-                block, turn = block.as_py(), turn.as_py()
-                if now is None or now[0] != block:
-                    if now is not None:
-                        yield from make(*now)
-                    now = (block, None, None, [])
-                if turn == 0:
-                    now = (block, texts.as_py(), own.as_py(), now[3])
+            for block, part, text, own, answer in zip(*(batch.column(k) for k in range(5)), strict=True):
+                block, part = block.as_py(), part.as_py()
+                if part < 0:
+                    texts[block] = (text.as_py(), own.as_py())
                 else:
-                    now[3].append(answer.as_py())
-        if now is not None:
-            yield from make(*now)
+                    asked.setdefault(block, []).append((part, answer.as_py()))
+            del batch, text, own, answer
+        for block in sorted(texts):
+            by_part = sorted(asked.pop(block, ()), key=lambda x: x[0])
+            yield from make(block, *texts.pop(block), [answer for _, answer in by_part])
 
     return run
 
@@ -355,17 +368,28 @@ def _count_grams(unigrams):
         first, hot = take("first", np.uint64), take("hot", bool)
         second = _from_top_bytes(take("second", np.uint8))
         seen = take("seen", np.int64)
-        order = np.lexsort((second, np.repeat(first, runs)))
-        f, s = np.repeat(first, runs)[order], second[order]
+        single = "single" in asks[0].files
+        share = take("single", np.int64) if single else take("share", np.float64)
+        del asks, take
+        f = np.repeat(first, runs)
+        order = np.lexsort((second, f))
+        f, s = f[order], second[order]
+        del second
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))
-        gram = np.empty(len(order), dtype=np.int64)
-        gram[order] = np.cumsum(new) - 1
+        del s
+        rank = np.cumsum(new, dtype=np.int32 if len(order) < 2**31 else np.int64)
+        rank -= 1
+        gram = np.empty_like(rank)
+        gram[order] = rank
+        del rank
         head = np.flatnonzero(new)
         total = np.add.reduceat(seen[order], head)
+        share = share[order[head]]
+        del order, seen, new
         context, of_gram = _distinct(f[head])  # of_gram: the context of each distinct n-gram
-        del f, s, new, second
+        del f, head
         n = len(context)
-        share = unigrams.probability(take("single", np.int64)[order][head]) if "single" in asks[0].files else take("share", np.float64)[order][head]
+        share = unigrams.probability(share) if single else share
         share = np.where(total > 0, share, 0.0)
         facts = np.stack([*(np.bincount(of_gram[total == r], minlength=n) for r in range(1, CUTOFF + 1)), np.bincount(of_gram[total > CUTOFF], minlength=n), np.bincount(of_gram, share, n)], axis=1)
         of_count, above = _of_count(total)
@@ -434,7 +458,7 @@ def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_colum
     spark = docs.sparkSession
     store = common.Store(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_column).alias("text"))
-    blocks = store.put(texts.mapInArrow(_blocks, "block long, texts binary, words binary, n_words long, n_tokens long"), "blocks", "none")
+    blocks = store.put(texts.mapInArrow(common.lean(_blocks), "block long, texts binary, words binary, n_words long, n_tokens long"), "blocks", "none", common.BLOBS)
     n_blocks, n_words, n_tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     n_blocks = max(1, n_blocks)
     least = common.partitions(spark)
@@ -446,15 +470,15 @@ def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_colum
 
     def gathered(blocks, answers, make, schema):
         empty = F.lit(None).cast("binary")
-        rows = blocks.select("block", F.lit(0).alias("turn"), F.lit(-1).alias("part"), "texts", "words", empty.alias("answer"))
-        rows = rows.unionByName(answers.where("block >= 0").select("block", F.lit(1).alias("turn"), "part", empty.alias("texts"), empty.alias("words"), "answer"))
+        rows = blocks.select("block", F.lit(-1).alias("part"), "texts", "words", empty.alias("answer"))
+        rows = rows.unionByName(answers.where("block >= 0").select("block", "part", empty.alias("texts"), empty.alias("words"), "answer"))
         rows = rows.join(F.broadcast(makers), F.shiftright("block", 20) == F.col("maker"))  # a row for each task that made blocks
         place = F.col("first") + F.col("block").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-        rows = rows.repartitionById(n_blocks, place).sortWithinPartitions("block", "turn", "part")
-        return rows.select("block", "turn", "texts", "words", "answer").mapInArrow(_by_block(make), schema)
+        rows = rows.repartitionById(n_blocks, place)  # sorted by their readers, as Spark would hold them in large pages
+        return rows.select("block", "part", "texts", "words", "answer").mapInArrow(common.lean(_by_block(make)), schema)
 
-    asked = blocks.select("block", "words").mapInArrow(_ask_words(parts), "part int, block long, ask binary").repartitionById(parts, F.col("part"))
-    answers = store.put(asked.mapInArrow(_count_words, "block long, part int, answer binary"), "words", "none")
+    asked = blocks.select("block", "words").mapInArrow(common.lean(_ask_words(parts)), "part int, block long, ask binary").repartitionById(parts, F.col("part"))
+    answers = store.put(asked.mapInArrow(common.lean(_count_words), "block long, part int, answer binary"), "words", "none", common.BLOBS)
     total = _stats(answers, CUTOFF + 4)
     unigrams = Unigrams(total[0], total[1], total[2:-1], total[-1])
 
@@ -467,7 +491,7 @@ def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_colum
         yield kept(number, texts, _pack(vocabulary=_load(own)["vocabulary"], counts=_tight(_join_counts(answers))))
 
     # blocks with the answers are written again, so that neither the first ones nor that shuffle stay beside the next
-    known = store.put(gathered(blocks, answers, know_words, "block long, texts binary, words binary"), "known", "none")
+    known = store.put(gathered(blocks, answers, know_words, "block long, texts binary, words binary"), "known", "none", common.BLOBS)
     del asked
     store.drop(blocks, answers)
 
@@ -480,8 +504,8 @@ def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_colum
                     yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([number.as_py()]), pa.array([_pack(**request)], type=pa.binary())], names=["part", "block", "ask"])
 
     for n in range(2, order + 1):
-        asked = known.mapInArrow(ask, "part int, block long, ask binary").repartitionById(gram_parts, F.col("part"))
-        answers = store.put(asked.mapInArrow(_count_grams(unigrams), "block long, part int, answer binary"), f"grams{n}", "none")
+        asked = known.mapInArrow(common.lean(ask), "part int, block long, ask binary").repartitionById(gram_parts, F.col("part"))
+        answers = store.put(asked.mapInArrow(common.lean(_count_grams(unigrams)), "block long, part int, answer binary"), f"grams{n}", "none", common.BLOBS)
         total = _stats(answers, CUTOFF + 2)
         hot, hot_facts = _hot_facts(answers)
         del asked
@@ -494,7 +518,7 @@ def score(docs: DataFrame, held_out, order=ORDER, id_column="doc_id", text_colum
             yield kept(number, texts, _pack(**block.own, **{f"counts{n}": _tight(count), f"probability{n}": probability}))
 
         if n < order:
-            before_, known = known, store.put(gathered(known, answers, know, "block long, texts binary, words binary"), "known", "none")
+            before_, known = known, store.put(gathered(known, answers, know, "block long, texts binary, words binary"), "known", "none", common.BLOBS)
             store.drop(before_, answers)
 
     def evaluate(number, texts, own, answers):

@@ -85,3 +85,15 @@ def test_a_task_gives_freed_memory_back(spark):
 
     row = spark.range(1).coalesce(1).mapInArrow(measured, "plain long, lean long").first()
     assert row["plain"] - row["lean"] > 60
+
+
+def test_tables_of_long_values_have_small_groups(spark, tmp_path):
+    """A reader holds a group of rows at a time."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(24, numPartitions=1).selectExpr("id", "cast(repeat(cast(id as string), 600000) as binary) as value")
+    stored = common.Store(spark).put(rows, "long", "none", common.BLOBS)
+    (file,) = (f.removeprefix("file://") for f in stored.inputFiles())
+    meta = pq.ParquetFile(file).metadata
+    assert max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 8 << 20
+    assert sorted(r.id for r in stored.collect()) == list(range(24))

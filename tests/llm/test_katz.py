@@ -1,11 +1,14 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bioquery.llm import katz
+from bioquery.llm import katz, words
 
 
 def plain(rows, held, order=2):
@@ -84,3 +87,41 @@ def test_edges(spark):
     assert {x.doc_id: (x.n_tokens, x.train_tokens) for x in katz.score(df, F.lit(False)).collect()} == {None: (3, 4), 1: (1, 4)}
     assert [x.score for x in katz.score(df, F.lit(True)).collect()] == [0.0, 0.0]
     assert katz.score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_scratch_of_counting(monkeypatch):
+    """What a task that counts pairs holds at most, and that its answers go in small batches."""
+    r = np.random.default_rng(1)
+    n, heads = 400_000, 100_000
+    asks = []
+    for _ in range(4):
+        own = lambda k: np.sort(r.integers(0, 1 << 63, k, dtype=np.uint64))
+        asks.append(katz._pack(first=own(heads), hot=np.zeros(heads, dtype=bool), run=np.full(heads, n // heads, dtype=np.uint8), second=katz._top_bytes(own(n)), seen=np.ones(n, dtype=np.uint8), single=np.ones(n, dtype=np.uint8)))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, type=pa.int32()), pa.array(range(4)), pa.array(asks, type=pa.binary())], names=["part", "block", "ask"])
+    unigrams = katz.Unigrams(10, 5, [1] * (katz.CUTOFF + 1), 0)
+    list(katz._count_grams(unigrams)([batch]))
+    tracemalloc.start()
+    list(katz._count_grams(unigrams)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("bytes a pair", peak / (4 * n))
+    assert peak < 100 * 4 * n
+    monkeypatch.setattr(katz, "BATCH_BYTES", 1000)
+    assert [b.num_rows for b in katz._answers([(k, 0, bytes(600)) for k in range(5)])] == [2, 2, 1]
+
+
+def test_scratch_of_a_block():
+    """What the pairs of a block take at most."""
+    r = np.random.default_rng(1)
+    vocabulary = np.unique(np.append(r.integers(0, 1 << 63, 50_000, dtype=np.uint64), words.END))
+    n = 1_000_000
+    texts = katz._pack(ids=np.arange(1000), known=np.ones(1000, dtype=bool), held=np.zeros(1000, dtype=np.uint8), lengths=np.full(1000, n // 1000, dtype=np.uint16), index=r.integers(0, len(vocabulary), n, dtype=np.uint32))
+    own = katz._pack(vocabulary=vocabulary, counts=np.full(len(vocabulary), 20, dtype=np.uint8))
+    unigrams = katz.Unigrams(10 * n, len(vocabulary), [1] * (katz.CUTOFF + 1), 0)
+    katz.Block(texts, own, unigrams, 50)
+    tracemalloc.start()
+    katz.Block(texts, own, unigrams, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("bytes a token", peak / n)
+    assert peak < 108 * n
