@@ -276,18 +276,20 @@ class Block:
         previous += self.index
         grams, place = _distinct(previous)
         del previous
-        ctx, last = grams // max(1, size), (grams % max(1, size)).astype(np.int32)
-        lower = np.empty(len(grams), dtype=np.int64)
+        ctx, last = (grams // max(1, size)).astype(np.int32), (grams % max(1, size)).astype(np.int32)
+        del grams
+        place = place.astype(np.int32, copy=False)
+        lower = np.empty(len(ctx), dtype=np.int32)
         lower[place] = low.place
-        hashes = words.mix(low.hashes[ctx] ^ words.mix(self.vocabulary[last] + np.uint64(self.n)))
-        start = words.mix(np.array([START + np.uint64(self.n)]))
-        self.level = Level(place.astype(np.int32), np.append(hashes, start), ctx=ctx, last=last, lower=lower)
-        context = low.count[ctx]
-        hot = context > self.unigrams.tokens / self.parts
-        name = low.hashes[ctx]
-        key = words.mix(name)
-        key[hot] = words.mix(name[hot] ^ words.mix(self.vocabulary[last[hot]]))
-        self.hot, self.part = hot, _slices(key, self.parts).astype(np.int32)
+        hashes = np.empty(len(ctx) + 1, dtype=np.uint64)
+        hashes[:-1] = words.mix(low.hashes[ctx] ^ words.mix(self.vocabulary[last] + np.uint64(self.n)))
+        hashes[-1:] = words.mix(np.array([START + np.uint64(self.n)]))
+        self.level = Level(place, hashes, ctx=ctx, last=last, lower=lower)
+        self.hot = low.count[ctx] > self.unigrams.tokens / self.parts
+        key = low.hashes[ctx]
+        key[self.hot] ^= words.mix(self.vocabulary[last[self.hot]])
+        self.part = _slices(words.mix(key), self.parts).astype(np.int32)
+        del key
         self.order = np.argsort(self.part, kind="stable")
 
     def asks(self):

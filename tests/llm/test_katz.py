@@ -124,4 +124,4 @@ def test_scratch_of_a_block():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     print("bytes a token", peak / n)
-    assert peak < 108 * n
+    assert peak < 80 * n
