@@ -61,13 +61,41 @@ def sidecar_owner(files: DataFrame, stems: DataFrame) -> DataFrame:
     return prefixes.join(stems, "stem").groupBy("file").agg(F.max_by("stem", F.length("stem")).alias("stem"))
 
 
+def _sidecar_levels(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFrame:
+    """(rec, up, depth, n, fields..): of every directory at or above a recording's, how many sidecars fit there and what they set.
+
+    Sidecars of one directory and the same entities fit the same recordings, so
+    both sides are matched by kind, once each, and the rows grow with the
+    recordings, not with the pairs that fit.  Kinds meet by a sidecar's entity
+    that the fewest kinds of recordings below have, or by none.
+    """
+    kind = F.array_sort(F.array_distinct("ents"))
+    recs = recordings.select("rec", "dir", kind.alias("ents")).distinct()
+    parts = F.split("dir", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    at = recs.select("dir", "ents").where("ents is not null").distinct().withColumn("up", F.explode(F.array_distinct(ups)))
+    of = sidecars.select(F.col("dir").alias("up"), kind.alias("of"), *fields).where("of is not null")
+    side = of.groupBy("up", "of").agg(F.count("*").alias("n"), *[F.first(f, ignorenulls=True).alias(f) for f in fields])
+    # an entity as a key, null too
+    keyed = lambda df, ents: df.withColumn("key", F.explode(F.transform(ents, lambda e: F.coalesce(F.concat(F.lit("="), e), F.lit("")))))
+    by_key = keyed(at, "ents")
+    often = by_key.groupBy("up", "key").agg(F.count("*").alias("often"))
+    rarest = keyed(side.select("up", "of"), "of").join(often, ["up", "key"], "left").groupBy("up", "of").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key"))["key"].alias("key"))
+    some = by_key.join(side.join(rarest, ["up", "of"]), ["up", "key"]).where(F.size(F.array_except("of", "ents")) == 0)
+    names = ["dir", "ents", "up", "n", *fields]
+    fits = some.select(*names).unionByName(at.join(side.where(F.size("of") == 0), "up").select(*names))
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.first(f, ignorenulls=True).alias(f) for f in fields])
+    return sums(recs.join(sums(fits, "dir", "ents", "up"), ["dir", "ents"]), "rec", "up").withColumn("depth", F.length("up"))
+
+
+def _deepest(fields):
+    return [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("depth"))).alias(f) for f in fields]
+
+
 def sidecar_fields(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFrame:
     """Effective fields of recordings (rec, dir, ents): of sidecars (dir, ents, fields) in their directory or above
     whose entities the recording has, the deepest that sets a field gives it."""
-    at = recordings.withColumn("up", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), n), "/"))))
-    side = sidecars.select(F.col("dir").alias("up"), F.col("ents").alias("of"), *fields)
-    fits = at.join(side, "up").where(F.size(F.array_except("of", "ents")) == 0).withColumn("depth", F.length("up"))
-    return fits.groupBy("rec").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("depth"))).alias(f) for f in fields])
+    return _sidecar_levels(recordings, sidecars, fields).groupBy("rec").agg(*_deepest(fields))
 
 
 def sidecar_problems(recordings: DataFrame, sidecars: DataFrame, fields) -> DataFrame:
@@ -76,11 +104,8 @@ def sidecar_problems(recordings: DataFrame, sidecars: DataFrame, fields) -> Data
     Two sidecars that fit at one level are ambiguous; else the first field that
     none of them sets is missing; else the problem is null.
     """
-    at = recordings.withColumn("up", F.explode(F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), n), "/")))).distinct()
-    side = sidecars.select(F.col("dir").alias("up"), F.col("ents").alias("of"))
-    levels = at.join(side, "up").where(F.size(F.array_except("of", "ents")) == 0).groupBy("rec", "up").agg(F.count("*").alias("n")).where("n > 1")
-    twice = levels.groupBy("rec").agg(F.min("up").alias("level"))
-    out = recordings.select("rec").distinct().join(sidecar_fields(recordings, sidecars, fields), "rec", "left").join(twice, "rec", "left")
+    of = _sidecar_levels(recordings, sidecars, fields).groupBy("rec").agg(*_deepest(fields), F.min(F.when(F.col("n") > 1, F.col("up"))).alias("level"))
+    out = recordings.select("rec").distinct().join(of, "rec", "left")
     problem = F.when(F.col("level").isNotNull(), F.concat(F.lit("ambiguous at /"), "level"))
     for f in fields:
         problem = problem.when(F.col(f).isNull(), f"missing {f}")

@@ -143,3 +143,49 @@ def test_nothing_imports_the_language_operators():
     for path in glob.glob("bioquery/**/*.py", recursive=True):
         if "/llm/" not in path:
             assert "bioquery.llm" not in pathlib.Path(path).read_text()
+
+
+def test_sidecars_are_matched_by_kind(spark):
+    """Many alike sidecars and recordings cost rows in proportion to them, not to their pairs."""
+    n = 3000
+    recordings = spark.range(n).select(F.col("id").alias("rec"), F.lit("s").alias("dir"), F.array(F.lit("task-a"), F.concat(F.lit("run-"), F.col("id") % 3)).alias("ents"))
+    side = spark.range(n).select(F.when(F.col("id") == 0, "").otherwise("s").alias("dir"), F.when(F.col("id") == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("run-"), F.col("id") % 2))).alias("ents"), F.col("id").alias("a"))
+    out = records.sidecar_problems(recordings, side, ["a"])
+    assert {(r.rec % 3, r.problem) for r in out.collect()} == {(0, "ambiguous at /s"), (1, "ambiguous at /s"), (2, None)}
+    assert {r.a for r in out.where("rec % 3 = 2").collect()} == {0} and out.count() == n
+    pairs = out._jdf.queryExecution().executedPlan()
+    out._jdf.queryExecution().toRdd().count()
+    rows, todo = [], [pairs]
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(plan.plan())
+        if "Join" in name:
+            rows.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert rows and max(rows) <= 4 * n
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_sidecars_equal_brute_force(spark, kind):
+    import random
+
+    rng = random.Random(kind)
+    some = lambda: rng.sample(["sub-1", "sub-2", "task-a", "run-1", None], rng.randrange(4))
+    place = lambda: rng.choice(["", "s", "s/e", "s/e/x", "t", "se"])
+    recs = [(rng.randrange(40), place(), some()) for _ in range(60)]
+    sides = [(place(), some(), k if k % 3 else None) for k in range(12)]
+    over = lambda a, b: a in ("", b) or b.startswith(a + "/")
+    want = {}
+    for rec in {r[0] for r in recs}:
+        mine = {(d, frozenset(e)) for r, d, e in recs if r == rec}
+        fits = [(s, a) for d, e in mine for s, of, a in sides if over(s, d) and set(of) <= e]
+        twice = sorted({s for s, _ in fits if sum(s == o for o, _ in fits) > 1})
+        sets = [(len(s), a) for s, a in fits if a is not None]
+        want[rec] = f"ambiguous at /{twice[0]}" if twice else max(sets)[1] if sets else "missing a"
+    rows = records.sidecar_problems(spark.createDataFrame(recs, "rec long, dir string, ents array<string>"), spark.createDataFrame(sides, "dir string, ents array<string>, a long"), ["a"]).collect()
+    assert {r.rec: r.problem or r.a for r in rows} == want and len(rows) == len(want)
