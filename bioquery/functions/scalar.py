@@ -160,29 +160,40 @@ def q31_to_float(q) -> Column:
     return (_c(q).cast("float") / F.lit(2147483647.0).cast("float")).cast("float") * F.lit(1000.0).cast("float")
 
 
-def _lowest_terms(numerator, denominator) -> Column:
-    """Struct (num, den) without common factors 2 and 5, of a denominator that has no others."""
-    start = F.struct(numerator.alias("num"), denominator.alias("den"))
-
-    def halved(by):
-        def step(r, _):
-            both = (r["num"] % by == 0) & (r["den"] % by == 0)
-            return F.struct(F.when(both, (r["num"] / by).cast("decimal(38,0)")).otherwise(r["num"]).alias("num"), F.when(both, (r["den"] / by).cast("decimal(38,0)")).otherwise(r["den"]).alias("den"))
-
-        return step
-
-    tries = F.sequence(F.lit(1), F.lit(18))
-    return F.aggregate(tries, F.aggregate(tries, start, halved(2)), halved(5))
+def _let(value, f) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def decimal_ratio(text) -> Column:
-    """Struct (num, den) in lowest terms that a decimal text of up to 18 digits equals; null if it isn't one."""
-    text = F.trim(_c(text))
-    digits = F.regexp_replace(text, "[+.]", "")
-    places = F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1))
-    ok = text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$") & (F.length(F.regexp_replace(digits, "-", "")) <= 18)
-    ten = F.rpad(F.lit("1"), places + 1, "0").cast("decimal(38,0)")
-    return F.when(ok, _lowest_terms(F.when(ok, digits).otherwise("0").cast("decimal(38,0)"), ten))
+    """Struct (num, den) in lowest terms that a decimal text of up to 18 digits equals; null if it isn't one.
+
+    The common factor of the digits and a power of ten is one of a power of 2,
+    their lowest common bit, and one of a power of 5, by counting.
+    """
+    long = lambda k: F.lit(k).cast("long")
+    power = lambda k: F.element_at(F.array(*[long(5**j) for j in range(19)]), k + 1)
+    div = lambda x, y: F.call_function("div", x, y)
+    fields = lambda **c: F.struct(*[x.alias(name) for name, x in c.items()])
+
+    def parts(t):
+        ok = t.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$") & (F.length(F.regexp_replace(t, "[+.-]", "")) <= 18)
+        point = F.instr(t, ".")
+        return F.when(ok, fields(n=F.regexp_replace(t, "[+.]", "").cast("long"), places=F.when(point > 0, F.length(t) - point).otherwise(0)))
+
+    def lowest(p):
+        twos = F.call_function("shiftleft", long(1), p["places"])
+        both = p["n"].bitwiseOR(twos)
+        times = F.lit(0)
+        for k in range(1, 19):
+            times = F.when((p["places"] >= k) & (p["n"] % long(5**k) == 0), k).otherwise(times)
+        return fields(n=p["n"], twos=twos, places=p["places"], low=both.bitwiseAND(-both), times=times)
+
+    def ratio(p):
+        num, den = div(div(p["n"], p["low"]), power(p["times"])), div(p["twos"], p["low"]) * power(p["places"] - p["times"])
+        return F.when(p["n"].isNotNull(), fields(num=num.cast("decimal(38,0)"), den=den.cast("decimal(38,0)")))
+
+    return _let(_let(_let(F.trim(_c(text)), parts), lowest), ratio)
 
 
 def float_ratio(x) -> Column:

@@ -66,3 +66,17 @@ def test_exact_numbers(spark):
         assert (r.r is None) == (r.x != r.x) and (r.r is None or Fraction(r.r.num, r.r.den) == Fraction(r.x))
     ties = spark.createDataFrame([(n,) for n in range(-12, 13)], "n long").select("n", scalar.round_ratio("n", F.lit(4)).alias("q")).collect()
     assert all(r.q == round(Fraction(r.n, 4)) for r in ties)
+
+
+def test_decimal_ratios_take_no_loops(spark):
+    """Equal to exact fractions at the edges, without a fold over decimals a row."""
+    from fractions import Fraction
+
+    texts = [f"{sign}{2**i * 5**j * k:019d}"[-18:] for sign in ("", "-") for i in range(0, 20, 3) for j in range(0, 12, 2) for k in (1, 3, 49)]
+    texts = [sign + (t[:-p] + "." + t[-p:] if p else t) for t in {t.lstrip("-") for t in texts} for p in (0, 2, 17) for sign in ("", "-", "+")]
+    texts += ["0.00000000000000001", "999999999999999999", "-0.00", "5."]
+    bad = ["0.000000000000000000", "1.2.3", "--1", "", "9223372036854775808", "-9223372036854775808", "1" * 50, "0." + "0" * 40]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "s string").select("s", scalar.decimal_ratio("s").alias("r"))
+    for r in df.collect():
+        assert r.r is None if r.s in bad else Fraction(r.s.rstrip(".")).as_integer_ratio() == (int(r.r.num), int(r.r.den)), r.s
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
