@@ -187,6 +187,36 @@ def running_total(df: DataFrame, keys, order: str, value: str, name: str, ranges
     return dealt.withColumn("__inside", inside).join(starts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
 
 
+def places(df: DataFrame, keys, order, name: str, ranges=16) -> DataFrame:
+    """df with a column of the row's place in its key by the order's columns, from 0, null values first; one key is many tasks'.
+
+    As in running_total a sample only decides how evenly ranges are filled: a
+    row's range is how many borders it has reached, which no border can put out
+    of order.
+    """
+    order, kinds = list(order), dict(df.dtypes)
+    step = max(1, df.count() // (32 * ranges))
+    some = df.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).select(*order).dropna().distinct().limit(256 * ranges)
+    sample = some.orderBy(*order).select(*[F.col(c).cast("string") for c in order]).collect()
+    borders = list(dict.fromkeys(tuple(sample[len(sample) * k // ranges]) for k in range(1, ranges))) if sample else []
+
+    def reached(border):
+        out = F.lit(True)
+        for c, v in reversed(list(zip(order, border, strict=True))):
+            at = F.lit(v).cast(kinds[c])
+            out = (F.col(c) > at) | ((F.col(c) == at) & out)
+        return F.coalesce(out, F.lit(False)).cast("int")
+
+    dealt = df.withColumn("__range", functools.reduce(operator.add, map(reached, borders), F.lit(0)))
+    sums = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__of"), before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)) - 1
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__range") == F.col("__of"))
+    out = dealt.withColumn("__inside", inside).join(F.broadcast(starts), same)  # a row a range of a key
+    return out.select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
+
+
 def offsets(entries: DataFrame, keys=("archive",), ranges=RANGES) -> DataFrame:
     """Start of each payload: the sizes of those before it, by path."""
     return running_total(entries, list(keys), "path", "compressed_size", "offset", ranges)

@@ -336,7 +336,8 @@ def on_clock(events: DataFrame, df: DataFrame, rate: float) -> DataFrame:
 
 def residual_across(df: DataFrame, gains: DataFrame) -> DataFrame:
     """x less the rounded-down sum of gains (16 fractional bits) times reference channels at the same time."""
-    reference = gains.join(df.select(F.col("ch").alias("ref"), "t", F.col("x").alias("xr")), "ref").groupBy("ch", "t").agg(F.sum(F.col("gain") * F.col("xr")).alias("total"))
+    # a few gains a channel go to the samples, which stay dealt as they are
+    reference = df.select(F.col("ch").alias("ref"), "t", F.col("x").alias("xr")).join(F.broadcast(gains), "ref").groupBy("ch", "t").agg(F.sum(F.col("gain") * F.col("xr")).alias("total"))
     return df.join(reference, ["ch", "t"], "left").withColumn("y", F.col("x") - F.shiftright(F.coalesce("total", F.lit(0).cast("long")), 16))
 
 

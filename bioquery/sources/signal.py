@@ -1,9 +1,10 @@
 """Signals from the driver's tables (stand-ins; no physiological claim)."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bioquery.operators import records
+
 #: The same in SQL, as a first common table expression s(ch, t, x).
 SAMPLES_SQL = """s AS (SELECT event_type AS ch, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t,
   CAST(round(value * 100) AS BIGINT) - 5000 AS x FROM events)"""
@@ -12,12 +13,12 @@ SAMPLES_SQL = """s AS (SELECT event_type AS ch, row_number() OVER (PARTITION BY
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ch, t, x): the events of a type in time order are a channel of integer samples around zero.
 
-    Only this adapter numbers samples by a window over whole channels; stored
-    recordings carry t.
+    Only this adapter numbers samples, by ranges of time, so that a channel is
+    many tasks'; stored recordings carry t.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    order = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return events.select(F.col("event_type").alias("ch"), (F.row_number().over(order) - 1).cast("long").alias("t"), (F.round(F.col("value") * 100).cast("long") - 5000).alias("x"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
+    placed = records.places(events, ["event_type"], ["ts", "event_id"], "t")
+    return placed.select(F.col("event_type").alias("ch"), "t", (F.round(F.col("value") * 100).cast("long") - 5000).alias("x"))
 
 
 def changed(signal: DataFrame) -> DataFrame:

@@ -189,3 +189,19 @@ def test_sidecars_equal_brute_force(spark, kind):
         want[rec] = f"ambiguous at /{twice[0]}" if twice else max(sets)[1] if sets else "missing a"
     rows = records.sidecar_problems(spark.createDataFrame(recs, "rec long, dir string, ents array<string>"), spark.createDataFrame(sides, "dir string, ents array<string>, a long"), ["a"]).collect()
     assert {r.rec: r.problem or r.a for r in rows} == want and len(rows) == len(want)
+
+
+def test_places_by_ranges(spark):
+    rows = [(None if k % 11 == 0 else "ab"[k % 2], None if k % 13 == 0 else (k * 7919) % 40, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, a int, b long").repartition(5)
+    for ranges in (1, 7, 64):
+        got = {r.b: r.t for r in records.places(df, ["k"], ["a", "b"], "t", ranges).collect()}
+        first = lambda r: (r[1] is not None, r[1] or 0, r[2])
+        assert got == {r[2]: sum(first(q) < first(r) for q in rows if q[0] == r[0]) for r in rows}
+    assert records.places(df.limit(0), ["k"], ["a"], "t").count() == 0
+
+
+def test_samples_are_numbered_by_many_tasks(spark):
+    """No window of the numbering has a whole channel."""
+    plan = samples(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(event_type" in plan and "__range" in plan.split("row_number() windowspecdefinition(", 1)[1].split(" ASC", 1)[0]
