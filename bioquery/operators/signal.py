@@ -290,35 +290,68 @@ def trend(df: DataFrame, span=59, per=6, keys=("ch",), size=BLOCK) -> DataFrame:
     return _own(blocked(df, before=span, size=size).withColumn("slope", (F.col("x") - F.lag("x", span).over(_along([*keys, "__block"]))) * per))
 
 
+PACK = 1 << 10  # samples in a packed row, so that an Arrow batch of such rows stays small
+
+
+def packed(df: DataFrame, keys=("ch",), values=("x",), width=8, size=BLOCK) -> DataFrame:
+    """Rows (keys, t, values) of runs of samples in the order of t: t is that of a run's first sample, values are little-endian integers of width bytes.
+
+    Blocks of a channel are sorted and packed by many tasks; what must then go
+    through a channel in order has a thousandth of the rows.
+    """
+    keys, values = list(keys), list(values)
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, "t", F.expr(f"t div {size}").alias("__block"), *[F.col(v).cast("long").alias(f"__{v}") for v in values])
+    dealt = rows.repartition(*keys, "__block").sortWithinPartitions(*keys, "t")
+    n_keys, names = len(keys), [*keys, "t", *values]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in (*range(n_keys), n_keys + 1):
+                code = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()]
+            cuts = [k for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True) for k in range(i, j, PACK)]
+            arrays = [batch.column(c).take(pa.array(cuts)) for c in range(n_keys + 1)]
+            for c in range(n_keys + 2, batch.num_columns):
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(f"<i{width}")
+                arrays.append(pa.array([x[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return dealt.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "t"]), *(f"{v} binary" for v in values)]))
+
+
 def digest(df: DataFrame, keys=(), width=8) -> DataFrame:
     """(keys, digest): SHA-256 over the samples of a recording as little-endian integers of width bytes, channel by channel.
 
     Such a digest runs through a recording in order, so a recording is one
-    task's; its samples are sorted by Spark, which spills, and stream through.
+    task's: it gets packed runs that many tasks have sorted, width bytes a
+    sample, and streams them.
     """
     keys, kinds = list(keys), dict(df.dtypes)
-    rows = df.select(*keys, "ch", "t", "x")
-    dealt = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "ch", "t")
+    runs = packed(df, [*keys, "ch"], ("x",), width)
+    dealt = (runs.repartition(*keys) if keys else runs.repartition(1)).sortWithinPartitions(*keys, "ch", "t")
 
     def run(batches):
         import hashlib
 
-        import numpy as np
         import pyarrow as pa
 
         now, sha, done = None, None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()]
-            x = batch.column(len(keys) + 2).to_numpy(zero_copy_only=False).astype(f"<i{width}")
-            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
-            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                if sha is None or names[a] != now:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()] * batch.num_rows
+            for name, data in zip(names, batch.column(len(keys) + 2), strict=True):
+                if sha is None or name != now:
                     if sha is not None:
                         done.append((*now, sha.hexdigest()))
-                    now, sha = names[a], hashlib.sha256()
-                sha.update(np.ascontiguousarray(x[a:b]).tobytes())
+                    now, sha = name, hashlib.sha256()
+                sha.update(data.as_buffer())
         if sha is not None:
             done.append((*now, sha.hexdigest()))
         if done:

@@ -205,3 +205,17 @@ def test_samples_are_numbered_by_many_tasks(spark):
     """No window of the numbering has a whole channel."""
     plan = samples(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(event_type" in plan and "__range" in plan.split("row_number() windowspecdefinition(", 1)[1].split(" ASC", 1)[0]
+
+
+def test_digest_gets_packed_samples(spark):
+    """What one task puts in order are runs, not samples; any cut of them gives one digest."""
+    import hashlib
+
+    df = samples(spark, SF)
+    runs = signal.packed(df, ("ch",), size=64).collect()
+    n = df.count()
+    assert len(runs) <= n // 64 + 5 and sum(len(r.x) for r in runs) == 8 * n
+    rows = sorted((r.ch, r.t, r.x) for r in df.collect())
+    want = hashlib.sha256(b"".join(x.to_bytes(8, "little", signed=True) for _, _, x in rows)).hexdigest()
+    assert b"".join(r.x for r in sorted(runs, key=lambda r: (r.ch, r.t))) == b"".join(x.to_bytes(8, "little", signed=True) for _, _, x in rows)
+    assert [r.digest for r in signal.digest(df).collect()] == [want]
