@@ -5,6 +5,7 @@ parallel and a lost one is computed again alone.
 """
 
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -207,24 +208,57 @@ def bounded_dpcm(x, delta):
     return np.array(indices, dtype=np.int64), np.array(recon, dtype=np.int64)
 
 
-def rls_residual(x, order=8, forget=0.999, reset=16384, restore=False):
-    """Residual of a recursive least-squares predictor with rounded predictions; restore undoes it."""
-    out, past = [], np.zeros(order)
-    for i, v in enumerate(np.asarray(x).tolist()):
+def rls_residual(x, order=8, forget=0.999, reset=16384, restore=False, before=()):
+    """Residual of a recursive least-squares predictor with rounded predictions; restore undoes it.
+
+    x starts at a reset; before has the samples ahead of it, the last of which count.
+    """
+    x = np.asarray(x).tolist()
+    n, out = len(x), []
+    last = np.zeros(n + order)  # samples from the last to the first, those to predict from as a slice
+    ahead = list(before)[-order:] if order else []
+    last[n : n + len(ahead)] = ahead[::-1]
+    g, move, square = np.empty(order), np.empty(order), np.empty((order, order))
+    for i, v in enumerate(x):
         if i % reset == 0:
             w, p = np.zeros(order), np.eye(order) * 1e-2
-        guess = math.floor(sum(a * b for a, b in zip(w.tolist(), past.tolist(), strict=True)) + 0.5)
+        past = last[n - i : n - i + order]
+        guess = math.floor(sum(map(operator.mul, w.tolist(), past.tolist())) + 0.5)
         true = v + guess if restore else v
         out.append(true if restore else v - guess)
-        g = p @ past
-        g = g / (forget + float(past @ g))
-        w = w + g * (true - float(w @ past))
-        p = (p - np.outer(g, past @ p)) / forget
-        p = (p + p.T) / 2
-        past = np.concatenate([[true], past[:-1]])
+        np.matmul(p, past, out=g)
+        np.divide(g, forget + float(past @ g), out=g)
+        np.multiply(g, true - float(w @ past), out=move)
+        np.add(w, move, out=w)
+        np.multiply(g[:, None], past @ p, out=square)
+        np.subtract(p, square, out=p)
+        np.divide(p, forget, out=p)
+        np.add(p, p.T, out=square)
+        np.divide(square, 2, out=p)
+        last[n - i - 1] = true
     return np.array(out, dtype=np.int64)
 
 
+def rls_by_blocks(df: DataFrame, order=8, reset=16384, keys=("ch",)) -> DataFrame:
+    """Rows (keys, t, y) of the residual, a block between resets to a task with the samples before it; t counts from 0 without gaps.
+
+    Only the samples go over a reset, so blocks give what the whole channel gives.
+    """
+    from bioquery.operators import signal
+
+    keys, kinds = list(keys), dict(df.dtypes)
+
+    def run(pdf):
+        pdf = pdf.sort_values("t")
+        own = pdf["__own"].to_numpy()
+        rows = pdf.loc[own, [*keys, "t"]]
+        rows["y"] = rls_residual(pdf["x"].to_numpy()[own], order=order, reset=reset, before=pdf["x"].to_numpy()[~own])
+        return rows
+
+    near = signal.blocked(df.select(*keys, "t", "x"), before=order, size=reset)
+    return near.groupBy(*keys, "__block").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t long, y long")
+
+
 def change_points(x, fast=0.05, slow=0.002, ratio=4.0, dwell=256, warm=512):
     """1 where short-term energy leaves the long-term one by a factor, at least dwell samples apart."""
     out = np.zeros(len(x), dtype=np.int64)

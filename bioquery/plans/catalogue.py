@@ -345,8 +345,8 @@ def bounded_error(spark, sf):
 @query()
 def rls_roundtrip(spark, sf):
     """The residual y of the recursive predictor and what is restored from it alone; checked in the tests."""
-    residual = kernels.per_group(_s(spark, sf), kernels.rls_residual, keys=("ch",))
-    return kernels.per_group(residual.select("ch", "t", "y"), lambda y: kernels.rls_residual(y, restore=True), keys=("ch",), value="y", out="z long")
+    residual = kernels.rls_by_blocks(_s(spark, sf))
+    return kernels.per_group(residual, lambda y: kernels.rls_residual(y, restore=True), keys=("ch",), value="y", out="z long")
 
 
 @query()

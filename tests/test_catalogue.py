@@ -219,3 +219,15 @@ def test_digest_gets_packed_samples(spark):
     want = hashlib.sha256(b"".join(x.to_bytes(8, "little", signed=True) for _, _, x in rows)).hexdigest()
     assert b"".join(r.x for r in sorted(runs, key=lambda r: (r.ch, r.t))) == b"".join(x.to_bytes(8, "little", signed=True) for _, _, x in rows)
     assert [r.digest for r in signal.digest(df).collect()] == [want]
+
+
+def test_recursive_predictor_by_blocks(spark):
+    """Blocks between resets, each with the samples before it, give the residual of the whole channel."""
+    import numpy as np
+
+    from bioquery.operators import kernels
+
+    x = np.random.default_rng(3).integers(-900, 900, 500)
+    df = spark.createDataFrame([(c, t, int(v) * k) for c, k in (("a", 1), ("b", -2)) for t, v in enumerate(x)], "ch string, t long, x long").repartition(5)
+    got = {(r.ch, r.t): r.y for r in kernels.rls_by_blocks(df, reset=64).collect()}
+    assert got == {(c, t): int(y) for c, k in (("a", 1), ("b", -2)) for t, y in enumerate(kernels.rls_residual(x * k, reset=64))}
